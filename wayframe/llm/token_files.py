@@ -135,7 +135,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, vocabulary: in
 
     order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
     rows = docs.select("doc_id", "text").repartitionByRange(n, order[0], F.xxhash64("text")).sortWithinPartitions(order[0], F.xxhash64("text"), order[1])
-    manifest = rows.mapInArrow(write, "part int, file string, n_docs long, n_ids long")
+    manifest = rows.mapInArrow(write, "part long, file string, n_docs long, n_ids long")
     manifest.write.parquet(f"{path}/manifest")
     return spark.read.schema(manifest.schema).parquet(f"{path}/manifest")
 
