@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_automaton, lsh_forest, packing, token_files
+from . import bpe_automaton, lsh_forest, multiset_hash, packing, quality_rules, secrets, token_files
 from .common import table
 
 #: Ids of the word-level vocabulary, special tokens included; the id that ends a document.
@@ -26,9 +26,23 @@ def op5_pow2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID, with_ids=False)
 
 
+def op6_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1")
+    judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), trusted)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+def op8_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op4_lsh_forest, op5_pow2_packing, op9_bpe_automaton)}
+def op10_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset_hash.edited_likeness(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op4_lsh_forest, op5_pow2_packing, op6_ngram_ratio, op8_secret_novelty, op9_bpe_automaton, op10_multiset_hash)}
 ORACLE_SQL: dict[str, str] = {}
