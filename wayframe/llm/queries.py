@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_automaton, lsh_forest, multiset_hash, packing, quality_rules, secrets, token_files
+from . import bpe_automaton, lsh_forest, multiset_hash, packing, quality_fm, quality_rules, secrets, token_files, url_trees
 from .common import table
 
 #: Ids of the word-level vocabulary, special tokens included; the id that ends a document.
@@ -18,6 +18,18 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), WORD_VOCABULARY, END_ID)
 
 
+def op2_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_fm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: Verdict and rule: a host and its subdomains, and how the path begins.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op3_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_trees.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op4_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -44,5 +56,5 @@ def op10_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset_hash.edited_likeness(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op4_lsh_forest, op5_pow2_packing, op6_ngram_ratio, op8_secret_novelty, op9_bpe_automaton, op10_multiset_hash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_factorisation_machine, op3_url_trees, op4_lsh_forest, op5_pow2_packing, op6_ngram_ratio, op8_secret_novelty, op9_bpe_automaton, op10_multiset_hash)}
 ORACLE_SQL: dict[str, str] = {}
