@@ -230,17 +230,8 @@ def _tile(t: pa.Table, threshold: float) -> list[tuple]:
     return out
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, target: float = 0.9999) -> DataFrame:
-    """``doc_id, class_id, n_links, n_texts`` for each row of ``docs(doc_id, text, ...)``.
-
-    class_id: least doc_id of the group that links of Jaccard similarity >= threshold form;
-    n_links: other documents linked to it, copies included; n_texts: other linked texts (as
-    sets of shingles). Similarities are exact; a pair at the threshold meets with probability
-    target, more similar pairs sooner. A text under five words is one shingle. A text without a
-    word, or null, has no links and its own doc_id as class_id. Equal rows count as copies. A
-    null doc_id is kept; a class has a null class_id only if none of its documents has an id.
-    Other columns are unused; an empty table gives no rows.
-    """
+def _grouped(docs: DataFrame, words: int, threshold: float, target: float) -> DataFrame:
+    """For each row ``doc_id, text_hash, set_key, class_id, one, n_links, n_texts``; one: the document that stands for the group."""
     match = prefix_length(threshold, target)
     signed = stored(_signed(docs, words, DEPTH, match), "signatures")
     classes = signed.where("set_key IS NOT NULL").groupBy("set_key").agg(F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("rep"), F.first("prefixes").alias("prefixes"), F.first("marks").alias("marks"))
@@ -253,6 +244,32 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, tar
     groups = connected_components(found.where("b IS NOT NULL").select("a", "b"))
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("set_key")).agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
     placed = classes.select("set_key", "copies", "rep").join(groups.withColumnRenamed("node", "set_key"), "set_key", "left").join(counts, "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
-    ids = placed.groupBy("label").agg(F.min("rep.doc_id").alias("class_id"))
-    info = placed.join(ids, "label").select("set_key", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("texts", F.lit(0)).cast("long").alias("n_texts"))
-    return signed.select("doc_id", "set_key").join(info, "set_key", "left").select("doc_id", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_texts", F.lit(0)).cast("long").alias("n_texts"))
+    ids = placed.groupBy("label").agg(F.min("rep.doc_id").alias("class_id"), F.min("rep").alias("one"))
+    info = placed.join(ids, "label").select("set_key", "class_id", "one", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("texts", F.lit(0)).cast("long").alias("n_texts"))
+    return signed.select("doc_id", "text_hash", "set_key").join(info, "set_key", "left")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, target: float = 0.9999) -> DataFrame:
+    """``doc_id, class_id, n_links, n_texts`` for each row of ``docs(doc_id, text, ...)``.
+
+    class_id: least doc_id of the group that links of Jaccard similarity >= threshold form;
+    n_links: other documents linked to it, copies included; n_texts: other linked texts (as
+    sets of shingles). Similarities are exact; a pair at the threshold meets with probability
+    target, more similar pairs sooner. A text under five words is one shingle. A text without a
+    word, or null, has no links and its own doc_id as class_id. Equal rows count as copies. A
+    null doc_id is kept; a class has a null class_id only if none of its documents has an id.
+    Other columns are unused; an empty table gives no rows.
+    """
+    return _grouped(docs, words, threshold, target).select("doc_id", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_texts", F.lit(0)).cast("long").alias("n_texts"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, threshold: float = 0.8, target: float = 0.9999) -> DataFrame:
+    """Rows of docs, all columns, with one document of each near-duplicate group: the one with the least doc_id (null last), of repeated rows one. Documents without a word all stay."""
+    grouped = _grouped(docs, words, threshold, target)
+    alone = F.col("set_key").isNull()
+    here = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    stay = stored(grouped.where(alone | (here == F.col("one"))).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), alone.alias("_all")).distinct(), "kept")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.xxhash64("text"))
+    kept = docs.join(stay.hint("shuffle_hash"), same)
+    wordless = kept.where("_all").select(docs.columns)
+    return kept.where("NOT _all").dropDuplicates(["_id", "_hash"]).select(docs.columns).unionByName(wordless)

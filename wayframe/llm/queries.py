@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_automaton, lsh_forest, multiset_hash, packing, quality_fm, quality_rules, secrets, token_files, url_trees
+from . import bpe_automaton, lsh_forest, multiset_hash, packing, quality_fm, quality_rules, secrets, suffix_dedup, token_files, url_trees
 from .common import table
 
 #: Ids of the word-level vocabulary, special tokens included; the id that ends a document.
@@ -44,6 +44,10 @@ def op6_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op7_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_digests(table(spark, sf_dir, "documents"))
+
+
 def op8_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(table(spark, sf_dir, "documents"))
 
@@ -56,5 +60,5 @@ def op10_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset_hash.edited_likeness(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_factorisation_machine, op3_url_trees, op4_lsh_forest, op5_pow2_packing, op6_ngram_ratio, op8_secret_novelty, op9_bpe_automaton, op10_multiset_hash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_factorisation_machine, op3_url_trees, op4_lsh_forest, op5_pow2_packing, op6_ngram_ratio, op7_bwt_dedup, op8_secret_novelty, op9_bpe_automaton, op10_multiset_hash)}
 ORACLE_SQL: dict[str, str] = {}
