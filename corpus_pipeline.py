@@ -17,7 +17,7 @@ from wayframe.llm.queries import END_ID
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go. Trusted text: documents labelled good."""
     trusted = table(spark, sf_dir, "labels").where("quality = 1")
-    return quality_rules.judge(docs, trusted).where("kept").select(docs.columns)
+    return quality_rules.kept_documents(docs, trusted)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -106,3 +106,14 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) ->
         rows = rows.withColumn("score", F.when(F.col("n_words") > 0, total / (2 * F.col("n_words") - 1)))
     kept = ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(True))
     return rows.withColumn("kept", kept).drop("_w", "_lines", "_h", "_placed")
+
+
+def kept_documents(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that judge() keeps, with the columns of docs.
+
+    The partition number makes the verdict a column that the optimizer computes once, below the
+    filter; it would otherwise write the verdict's whole expression into the filter, with the
+    steps it is built from repeated for each element that they are used on.
+    """
+    judged = judge(docs, trusted, threshold)
+    return judged.withColumn("_stays", F.col("kept") & (F.spark_partition_id() >= 0)).where("_stays").select(docs.columns)
