@@ -268,8 +268,8 @@ def keep_one(docs: DataFrame, words: int = 5, threshold: float = 0.8, target: fl
     grouped = _grouped(docs, words, threshold, target)
     alone = F.col("set_key").isNull()
     here = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    stay = stored(grouped.where(alone | (here == F.col("one"))).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), alone.alias("_all")).distinct(), "kept")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.xxhash64("text"))
+    stay = stored(grouped.where(alone | (here == F.col("one"))).select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash"), alone.alias("_kept_all")).distinct(), "kept")
+    same = F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_kept_hash") == F.xxhash64("text"))
     kept = docs.join(stay.hint("shuffle_hash"), same)
-    wordless = kept.where("_all").select(docs.columns)
-    return kept.where("NOT _all").dropDuplicates(["_id", "_hash"]).select(docs.columns).unionByName(wordless)
+    wordless = kept.where("_kept_all").select(docs.columns)
+    return kept.where("NOT _kept_all").dropDuplicates(["_kept_id", "_kept_hash"]).select(docs.columns).unionByName(wordless)

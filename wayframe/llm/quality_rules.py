@@ -61,7 +61,7 @@ def _counts(docs: DataFrame, trusted: DataFrame) -> tuple[dict[int, tuple[int, i
     """By bucket: n-grams of the corpus and of trusted documents; with their sums."""
     marks = trusted.select(F.col("doc_id").alias("_id")).where("_id IS NOT NULL").distinct().withColumn("_good", F.lit(1))
     marked = docs.select("doc_id", "text").join(marks.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left").select("text", F.coalesce("_good", F.lit(0)).alias("_good"))
-    grams = marked.select("_good", words_of(F.col("text")).alias("_w")).select("_good", F.explode(ngrams_of(F.col("_w"))).alias("b"))
+    grams = marked.select("_good", words_of(F.col("text")).alias("_rule_w")).select("_good", F.explode(ngrams_of(F.col("_rule_w"))).alias("b"))
     rows = grams.groupBy("b").agg(F.count("*").alias("n"), F.sum("_good").alias("good")).collect()  # BUCKETS rows at most
     return {r.b: (r.n, r.good) for r in rows}, sum(r.n for r in rows), sum(r.good for r in rows)
 
@@ -87,25 +87,25 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) ->
     text = F.coalesce(F.col("text"), F.lit(""))
     bare = F.translate(text, " \t\n\x0b\x0c\r", "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
-    rows = docs.withColumn("_w", words_of(F.col("text"))).withColumn("_lines", lines)
-    rows = rows.withColumn("_h", window_hashes(F.col("_w")))
-    repeats = F.size(F.array_distinct("_h")) < F.size("_h")
-    rows = rows.withColumn("_placed", F.when(repeats, F.array_sort(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    rows = rows.withColumn("n_repeat_words", F.coalesce(F.when(F.col("_placed").isNotNull(), covered_words("_placed")), F.lit(0)).cast("long"))
+    rows = docs.withColumn("_rule_w", words_of(F.col("text"))).withColumn("_rule_lines", lines)
+    rows = rows.withColumn("_rule_h", window_hashes(F.col("_rule_w")))
+    repeats = F.size(F.array_distinct("_rule_h")) < F.size("_rule_h")
+    rows = rows.withColumn("_rule_placed", F.when(repeats, F.array_sort(F.transform("_rule_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    rows = rows.withColumn("n_repeat_words", F.coalesce(F.when(F.col("_rule_placed").isNotNull(), covered_words("_rule_placed")), F.lit(0)).cast("long"))
     rows = rows.withColumns({
-        "n_words": F.size("_w").cast("long"), "word_chars": F.char_length(bare).cast("long"),
+        "n_words": F.size("_rule_w").cast("long"), "word_chars": F.char_length(bare).cast("long"),
         "n_symbols": (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+        "n_dup_lines": (F.size("_rule_lines") - F.size(F.array_distinct("_rule_lines"))).cast("long"),
     })
     rows = rows.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
     if table is None:
         rows = rows.withColumn("score", F.lit(None).cast("double"))
     else:
         ratios = F.split(F.lit(",".join(map(repr, table))), ",").cast("array<double>")
-        total = F.aggregate(ngrams_of(F.col("_w")), F.lit(0.0), lambda s, b: s + F.get(ratios, b))
+        total = F.aggregate(ngrams_of(F.col("_rule_w")), F.lit(0.0), lambda s, b: s + F.get(ratios, b))
         rows = rows.withColumn("score", F.when(F.col("n_words") > 0, total / (2 * F.col("n_words") - 1)))
     kept = ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(True))
-    return rows.withColumn("kept", kept).drop("_w", "_lines", "_h", "_placed")
+    return rows.withColumn("kept", kept).drop("_rule_w", "_rule_lines", "_rule_h", "_rule_placed")
 
 
 def kept_documents(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -115,5 +115,6 @@ def kept_documents(docs: DataFrame, trusted: DataFrame, threshold: float = THRES
     filter; it would otherwise write the verdict's whole expression into the filter, with the
     steps it is built from repeated for each element that they are used on.
     """
-    judged = judge(docs, trusted, threshold)
-    return judged.withColumn("_stays", F.col("kept") & (F.spark_partition_id() >= 0)).where("_stays").select(docs.columns)
+    whole = docs.select("doc_id", "text", F.struct(*[F.col(c) for c in docs.columns]).alias("_rule_row"))
+    judged = judge(whole, trusted, threshold)
+    return judged.withColumn("_rule_stays", F.col("kept") & (F.spark_partition_id() >= 0)).where("_rule_stays").select("_rule_row.*")

@@ -141,11 +141,11 @@ def mask_secrets(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
                 spans = base + novel_spans(text or "", base)
                 texts.append(masked(text, spans, mask) if spans else text)
                 changed.append(bool(spans))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array(changed)], [*batch.schema.names[:-1], "text", "_changed"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array(changed)], [*batch.schema.names[:-1], "text", "_secret_changed"])
 
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema] + [T.StructField("_changed", T.BooleanType())])
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema] + [T.StructField("_secret_changed", T.BooleanType())])
     out = rows.mapInArrow(run, schema)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("_changed"), F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col("_secret_changed"), F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
     return out.select(docs.columns)

@@ -210,8 +210,11 @@ def kept_bytes(data: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 
 def _with_spans(docs: DataFrame, columns: list[str]) -> DataFrame:
-    keyed = docs.select(*_keys(), *columns)
-    return keyed.join(stored(repeated_spans(docs), "spans").hint("shuffle_hash"), ["id", "h"], "left").drop("id", "h")
+    """The columns of docs after their ``_spans``."""
+    names = ("_span_id", "_span_h")
+    keyed = docs.select(*[k.alias(n) for k, n in zip(_keys(), names)], *columns)
+    spans = stored(repeated_spans(docs), "spans").select(F.col("id").alias(names[0]), F.col("h").alias(names[1]), F.col("spans").alias("_spans"))
+    return keyed.join(spans.hint("shuffle_hash"), list(names), "left").select("_spans", *columns)
 
 
 def removal_digests(docs: DataFrame) -> DataFrame:
@@ -230,13 +233,13 @@ def removal_digests(docs: DataFrame) -> DataFrame:
                 rows.append((doc_id, len(data), sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept_bytes(data, runs)).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _with_spans(docs, ["doc_id", "text"]).select("doc_id", "spans", "text").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_spans(docs, ["doc_id", "text"]).select("doc_id", "_spans", "text").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """All rows and columns of docs with repeated strings cut out of text, and n_chars (where there is such a column) counted anew for changed texts. Characters that a cut divides go as a whole; a null text stays null."""
     others = [c for c in docs.columns if c != "text"]
-    rows = _with_spans(docs, [*others, "text"]).select("spans", *others, "text")
+    rows = _with_spans(docs, [*others, "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
@@ -246,9 +249,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 ends = [0, *(x for r in runs for x in r), len(data or b"")]
                 texts.append(None if data is None else "".join([data[a:b].decode("utf-8", "ignore") for a, b in zip(ends[::2], ends[1::2])]))
             changed = pa.compute.is_valid(batch.column(0))
-            yield pa.RecordBatch.from_arrays([changed, *batch.columns[1:-1], pa.array(texts, pa.string())], ["_changed", *batch.schema.names[1:]])
+            yield pa.RecordBatch.from_arrays([changed, *batch.columns[1:-1], pa.array(texts, pa.string())], ["_span_changed", *batch.schema.names[1:]])
 
-    out = rows.mapInArrow(run, T.StructType([T.StructField("_changed", T.BooleanType()), *(T.StructField(f.name, f.dataType) for f in rows.schema[1:])]))
+    out = rows.mapInArrow(run, T.StructType([T.StructField("_span_changed", T.BooleanType()), *(T.StructField(f.name, f.dataType) for f in rows.schema[1:])]))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_changed"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col("_span_changed"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(docs.columns)
