@@ -29,7 +29,7 @@ from .common import stored, steps
 from .components import connected_components
 from .shingles import mixed, shingle_sets
 
-TREES, DEPTH, CROWD, BLOCK = 24, 6, 256, 192
+TREES, DEPTH, CROWD, BLOCK = 24, 6, 256, 96
 #: A pair is ruled out if its signatures agree so many standard deviations less often than at the threshold.
 SIGMAS = 5.0
 
