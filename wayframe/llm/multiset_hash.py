@@ -87,17 +87,18 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
 
     The edited text has its last third (whole code points, rounded down) replaced by as many
     from the beginning of the next document in descending doc_id. Equal doc_ids are ordered by
-    a hash of their texts and equal rows share a successor; null ids come last. A null text is
-    an empty one. A table of one document is its own successor. Other columns are unused; an
+    a hash of their texts and equal rows share a successor; null ids come last (the least long
+    counts as null). A null text is an empty one. A table of one document is its own successor. Other columns are unused; an
     empty table gives no rows.
     """
     order = stored(successors(docs), "successors")
-    keyed = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("h"), "doc_id", "text")
+    # Both joins read the same columns of docs by the same keys, so the texts are dealt out once.
+    keyed = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("h"), "text")
     wanted = order.select(F.col("next_id").alias("id"), F.col("next_h").alias("h"), F.col("id").alias("for_id"), F.col("h").alias("for_h"), F.floor(F.col("n") / 3).cast("int").alias("m"))
     given = _vector(keyed.join(wanted, ["id", "h"]), "text", "next")
     given = given.groupBy(F.col("for_id").alias("id"), F.col("for_h").alias("h")).agg(F.first(F.struct("next", F.expr("substring(coalesce(text, ''), 1, m)").alias("begin"), "m")).alias("given"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = keyed.join(given, ["id", "h"]).select("doc_id", text.alias("text"), F.char_length(text).alias("n"), F.col("given.next").alias("next"), F.col("given.begin").alias("begin"), F.col("given.m").alias("m"))
+    rows = keyed.join(given, ["id", "h"]).select(F.when(F.col("id") != _NO_ID, F.col("id")).alias("doc_id"), text.alias("text"), F.char_length(text).alias("n"), F.col("given.next").alias("next"), F.col("given.begin").alias("begin"), F.col("given.m").alias("m"))
     rows = rows.withColumn("edited", F.concat(F.expr("substring(text, 1, n - m)"), "begin"))
     rows = _vector(_vector(rows, "text", "own"), "edited", "other")
     return rows.select("doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), fingerprint_text("own").alias("fingerprint"), fingerprint_text("other").alias("edited_fingerprint"), likeness("own", "other").alias("near_edited"), likeness("own", "next").alias("near_next"))
