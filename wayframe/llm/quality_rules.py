@@ -90,8 +90,11 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) ->
     rows = docs.withColumn("_rule_w", words_of(F.col("text"))).withColumn("_rule_lines", lines)
     rows = rows.withColumn("_rule_h", window_hashes(F.col("_rule_w")))
     repeats = F.size(F.array_distinct("_rule_h")) < F.size("_rule_h")
-    rows = rows.withColumn("_rule_placed", F.when(repeats, F.array_sort(F.transform("_rule_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    rows = rows.withColumn("n_repeat_words", F.coalesce(F.when(F.col("_rule_placed").isNotNull(), covered_words("_rule_placed")), F.lit(0)).cast("long"))
+    # The partition number, used below, keeps filters on the results above this step: pushed further
+    # down, they would hold these expressions anew for each element that they are used on.
+    rows = rows.withColumns({"_rule_placed": F.when(repeats, F.array_sort(F.transform("_rule_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))), "_rule_part": F.spark_partition_id()})
+    covered = F.when(F.col("_rule_placed").isNotNull() & (F.col("_rule_part") >= 0), covered_words("_rule_placed"))
+    rows = rows.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
     rows = rows.withColumns({
         "n_words": F.size("_rule_w").cast("long"), "word_chars": F.char_length(bare).cast("long"),
         "n_symbols": (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long"),
@@ -105,7 +108,7 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) ->
         total = F.aggregate(ngrams_of(F.col("_rule_w")), F.lit(0.0), lambda s, b: s + F.get(ratios, b))
         rows = rows.withColumn("score", F.when(F.col("n_words") > 0, total / (2 * F.col("n_words") - 1)))
     kept = ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(True))
-    return rows.withColumn("kept", kept).drop("_rule_w", "_rule_lines", "_rule_h", "_rule_placed")
+    return rows.withColumn("kept", kept).drop("_rule_w", "_rule_lines", "_rule_h", "_rule_placed", "_rule_part")
 
 
 def kept_documents(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
