@@ -22,12 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bwt import prefix_sums, repeated, run_hashes
-from .common import stored, steps
+from .common import discard, shared_dir, stored, steps
 
 LENGTH, GRAM, CROWD, CELL = 200, 40, 192, 16
 #: Bytes of stretches that one merge takes.
@@ -74,6 +75,24 @@ def stretches(parts: list[bytes]) -> tuple[np.ndarray, ...]:
     return text, (start - begins[text]).astype(np.int32), windows.astype(np.int32), (place - start).astype(np.int32), hashes[place].view(np.int64), content.view(np.int64)
 
 
+def _compressed(rows: DataFrame, name: str) -> DataFrame:
+    """rows with the text (last column) as zstandard frames, the column name: for exchanges of whole texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1, write_checksum=False).compress
+        for batch in steps(batches):
+            frames = [None if t is None else pack(t) for t in batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(frames, pa.binary())], [*batch.schema.names[:-1], name])
+
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in rows.schema[:-1]), T.StructField(name, T.BinaryType())])
+    return rows.mapInArrow(run, schema)
+
+
+def _expanded(frames: pa.Array) -> list[bytes | None]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [None if f is None else unpack(f) for f in frames.to_pylist()]
+
+
 _STRETCH = "id long, h long, start int, windows int, anchor_at int, anchor long, content long"
 
 
@@ -98,15 +117,15 @@ def _fetched(different: DataFrame, docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
-            wanted, data = batch.column(0), batch.column(1).cast(pa.binary()).to_pylist()
+            wanted, data = batch.column(0), _expanded(batch.column(1))
             flat, owner = wanted.flatten(), np.repeat(np.arange(len(wanted)), pa.compute.list_value_length(wanted).to_numpy())
             columns = {k: flat.field(k) for k in ("anchor", "content", "copies", "crowded", "anchor_at")}
             cut = [data[i][s : s + w + LENGTH - 1] for i, s, w in zip(owner.tolist(), flat.field("start").to_pylist(), flat.field("windows").to_pylist())]
             yield pa.RecordBatch.from_pydict(columns | {"bytes": pa.array(cut, pa.binary())})
 
     wanted = different.select("at.id", "at.h", F.struct("anchor", "content", "copies", "crowded", "at.start", "at.windows", "at.anchor_at").alias("w")).groupBy("id", "h").agg(F.collect_list("w").alias("wanted"))
-    texts = docs.where("text IS NOT NULL").select(*_keys(), "text").join(wanted.hint("shuffle_hash"), ["id", "h"])
-    return texts.select("wanted", "text").mapInArrow(run, "anchor long, content long, copies long, crowded boolean, anchor_at int, bytes binary")
+    texts = _compressed(docs.where("text IS NOT NULL").select(*_keys(), "text"), "frame").join(wanted.hint("shuffle_hash"), ["id", "h"])
+    return texts.select("wanted", "frame").mapInArrow(run, "anchor long, content long, copies long, crowded boolean, anchor_at int, bytes binary")
 
 
 _FOUND = "anchor long, content long, ranges array<struct<a:int,b:int>>"
@@ -176,21 +195,27 @@ def _crowded(bytes_of: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """``id, h, spans array<struct<a, b>>``: byte spans to remove from each document (see _keys); spans may overlap."""
-    parts = stored(_all_stretches(docs), "stretches")
+    spark = docs.sparkSession
+    at = [shared_dir(spark, x) for x in ("stretches", "shared", "different", "bytes")]
+    parts = stored(_all_stretches(docs), "stretches", at[0])
     groups = parts.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high")).where("n > 1")
-    shared = stored(parts.join(groups.select("anchor", (F.col("low") == F.col("high")).alias("alike")), "anchor"), "shared")
+    shared = stored(parts.join(groups.select("anchor", (F.col("low") == F.col("high")).alias("alike")), "anchor"), "shared", at[1])
+    discard(parts, at[0])
     whole = F.struct(F.col("start").alias("a"), (F.col("start") + F.col("windows") + LENGTH - 1).alias("b"))
     unlike = shared.where("NOT alike")
     different = unlike.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("id", "h", "start", "windows", "anchor_at")).alias("at"))
-    different = stored(different, "different")
+    different = stored(different, "different", at[2])
     crowds = different.groupBy("anchor").agg(F.count("*").alias("kinds")).select("anchor", (F.col("kinds") > CROWD).alias("crowded"))
-    bytes_of = stored(_fetched(different.join(crowds, "anchor"), docs), "bytes")
+    bytes_of = stored(_fetched(different.join(crowds, "anchor"), docs), "bytes", at[3])
     gathered = bytes_of.where("NOT crowded").select("anchor", "content", "bytes").repartition("anchor").sortWithinPartitions("anchor", "content")
     found = gathered.mapInArrow(_merge, _FOUND).unionByName(_crowded(bytes_of)).select("anchor", "content", F.explode("ranges").alias("r"))
     copied = different.where("copies > 1").select("anchor", "content", F.struct(F.lit(0).alias("a"), F.col("at.windows").alias("b")).alias("r"))
     placed = unlike.join(found.unionByName(copied), ["anchor", "content"]).select("id", "h", F.struct((F.col("start") + F.col("r.a")).alias("a"), (F.col("start") + F.col("r.b") + LENGTH - 1).alias("b")).alias("span"))
     spans = shared.where("alike").select("id", "h", whole.alias("span")).unionByName(placed)
-    return spans.groupBy("id", "h").agg(F.collect_list("span").alias("spans"))
+    out = stored(spans.groupBy("id", "h").agg(F.collect_list("span").alias("spans")), "spans")
+    for df, path in ((shared, at[1]), (different, at[2]), (bytes_of, at[3])):
+        discard(df, path)
+    return out
 
 
 def joined_runs(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -210,11 +235,11 @@ def kept_bytes(data: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 
 def _with_spans(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns of docs after their ``_spans``."""
+    """The columns of docs, of which text is the last and comes as ``_frame``, after their ``_spans``."""
     names = ("_span_id", "_span_h")
-    keyed = docs.select(*[k.alias(n) for k, n in zip(_keys(), names)], *columns)
-    spans = stored(repeated_spans(docs), "spans").select(F.col("id").alias(names[0]), F.col("h").alias(names[1]), F.col("spans").alias("_spans"))
-    return keyed.join(spans.hint("shuffle_hash"), list(names), "left").select("_spans", *columns)
+    keyed = _compressed(docs.select(*[k.alias(n) for k, n in zip(_keys(), names)], *columns), "_frame")
+    spans = repeated_spans(docs).select(F.col("id").alias(names[0]), F.col("h").alias(names[1]), F.col("spans").alias("_spans"))
+    return keyed.join(spans.hint("shuffle_hash"), list(names), "left").select("_spans", *columns[:-1], "_frame")
 
 
 def removal_digests(docs: DataFrame) -> DataFrame:
@@ -228,12 +253,12 @@ def removal_digests(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             rows = []
-            for doc_id, spans, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()):
+            for doc_id, spans, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _expanded(batch.column(2))):
                 data, runs = data or b"", joined_runs(spans)
                 rows.append((doc_id, len(data), sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept_bytes(data, runs)).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _with_spans(docs, ["doc_id", "text"]).select("doc_id", "_spans", "text").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_spans(docs, ["doc_id", "text"]).select("doc_id", "_spans", "_frame").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -244,14 +269,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             texts = []
-            for spans, data in zip(batch.column(0).to_pylist(), batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()):
+            for spans, data in zip(batch.column(0).to_pylist(), _expanded(batch.column(batch.num_columns - 1))):
                 runs = [] if data is None else joined_runs(spans)
                 ends = [0, *(x for r in runs for x in r), len(data or b"")]
                 texts.append(None if data is None else "".join([data[a:b].decode("utf-8", "ignore") for a, b in zip(ends[::2], ends[1::2])]))
             changed = pa.compute.is_valid(batch.column(0))
-            yield pa.RecordBatch.from_arrays([changed, *batch.columns[1:-1], pa.array(texts, pa.string())], ["_span_changed", *batch.schema.names[1:]])
+            yield pa.RecordBatch.from_arrays([changed, *batch.columns[1:-1], pa.array(texts, pa.string())], ["_span_changed", *batch.schema.names[1:-1], "text"])
 
-    out = rows.mapInArrow(run, T.StructType([T.StructField("_span_changed", T.BooleanType()), *(T.StructField(f.name, f.dataType) for f in rows.schema[1:])]))
+    out = rows.mapInArrow(run, T.StructType([T.StructField("_span_changed", T.BooleanType()), *(T.StructField(f.name, f.dataType) for f in rows.schema[1:-1]), T.StructField("text", T.StringType())]))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_span_changed"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(docs.columns)
