@@ -30,6 +30,8 @@ def test_sample_graph(spark, sample):
     assert sample.get_path_length(path) == pytest.approx(4356.606, abs=1e-3)
     assert sample.get_path_length(["museum"]) == 0.0
     assert sample.compute_shortest_path("museum", "nowhere") == []
+    step = sample.navigation_decisions(spark.createDataFrame([("central_park", "station"), ("museum", "museum")], "start string, end string")).collect()
+    assert [(r.start, r.step, r.direction) for r in step] == [("central_park", "museum", "S")]
     assert sample.get_node_coordinates("museum") == (40.7794, -73.9632) and sample.get_node_coordinates("x") is None
 
 
