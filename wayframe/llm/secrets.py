@@ -36,23 +36,18 @@ _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_
 #: Marginal compressed bytes a character from which a candidate is reported; random base64 costs 0.75, random hex digits 0.5.
 LEAST_COST = 0.45
 _IDENTIFIERS = """
-access account address algorithm array assert async attribute auth background base boolean browser buffer build bytes
-callback catch certificate char class client color column command comment common config connection const constructor content
-context continue control cookie count create credential current cursor data database date debug decode default delete description
-dictionary directory document domain double element email enable encode encoding endpoint environment error event example
-exception export extends false field file filter final finally float format from function generate get group handler hash header
-height hidden host html http https identifier image implements import index init input insert instance integer interface internal
-invalid item iterator java javascript json keyword label language length level library limit link list load local localhost lock
-login logger logout long main manager map master match message metadata method migration minimum mode model module name namespace
-native network node none normal null number object offset operation option order origin output package page parameter parent parse
-password path pattern payload permission pointer port position prefix previous print private process production profile project
-promise property protected protocol provider proxy public python query queue random range read record redirect reference refresh
-region register registry release remote remove render replace repository request require reset resource response result return
-role root route runtime salt schema scope script search secret section security select self sequence server service session set
-setting sha256 signature size source stack start state static status storage string struct style submit suffix super switch system
-table target template temporary test text thread throw timeout timestamp title token transaction transform true type undefined
-unique unit update upload url user username utf-8 uuid valid validate value variable vector version view void warning widget width
-window worker workspace write yaml 0123456789abcdef ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz
+set value name id key data list test file path user
+access address array async auth base browser build callback certificate class color command common connection
+constructor context control count credential cursor database debug default description directory domain element enable
+encoding environment event exception extends field filter finally format function get handler header hidden html https
+image import init insert integer internal item java json label length library link load localhost login logout main
+map match metadata migration mode module namespace network none null object operation order output page parent
+password pattern permission port prefix print process profile promise protected provider public query random read
+redirect refresh register release remove replace request reset response return root runtime schema script secret
+security self server session setting signature source start static storage struct submit super system target temporary
+text throw timestamp token transform type unique update url username uuid validate variable version void widget window
+workspace yaml
+0123456789abcdef ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz
 """
 
 
