@@ -47,8 +47,9 @@ def dangling_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def graph_stats(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """One row: nodes, edges kept, edges removed."""
     marked = edges.join(nodes.select(F.col("id").alias("dst"), F.lit(1).alias("known")), "dst", "left")
-    counts = marked.agg(F.count("known").alias("n_edges"), F.count(F.when(F.col("known").isNull(), 1)).alias("n_removed"))
-    return nodes.agg(F.count("*").alias("n_nodes")).join(F.broadcast(counts))  # one row each
+    kinds = nodes.select(F.lit("node").alias("kind")).union(marked.select(F.when(F.col("known").isNull(), "removed").otherwise("edge")))
+    count = lambda kind: F.count(F.when(F.col("kind") == kind, 1))
+    return kinds.agg(count("node").alias("n_nodes"), count("edge").alias("n_edges"), count("removed").alias("n_removed"))
 
 
 def node_coordinates(ids: DataFrame, nodes: DataFrame) -> DataFrame:

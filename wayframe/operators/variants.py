@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.patterns import STRATEGIES
@@ -27,9 +27,9 @@ def expand(instructions: DataFrame) -> DataFrame:
 
 def strategy_shares(variants: DataFrame) -> DataFrame:
     """Variants of each strategy and their share in percent, the most frequent first."""
-    total = variants.agg(F.count("*").alias("total"))
     counts = variants.groupBy("strategy_applied").agg(F.count("*").alias("n"))
-    return counts.join(F.broadcast(total)).select("strategy_applied", "n", F.round(F.col("n") / F.col("total") * 100, 1).alias("percent")).orderBy(F.desc("n"), "strategy_applied")  # a single row is joined
+    total = F.sum("n").over(Window.partitionBy(F.lit(1)))  # over a row for each strategy
+    return counts.select("strategy_applied", "n", F.round(F.col("n") / total * 100, 1).alias("percent")).orderBy(F.desc("n"), "strategy_applied")
 
 
 def quality_summary(variants: DataFrame) -> DataFrame:
