@@ -1,11 +1,11 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs.
 
 Each paragraph is hashed to a wide vector; a document's fingerprint is the sum of its
-paragraphs' vectors, each lane modulo a power of two. So order doesn't matter, and adding or
-taking a paragraph is adding or taking its vector. A vector has LANES lanes modulo 2**32, in
-which every paragraph counts in full (equality), and SKETCH lanes modulo 2**8, in which it
-counts as +1 or -1 in a single lane: their inner products estimate how many paragraphs two
-documents share (likeness).
+paragraphs' vectors, each lane modulo 2**32. So order doesn't matter, and adding or taking a
+paragraph is adding or taking its vector. A vector has LANES lanes in which every paragraph
+counts in full (equality), and SKETCH lanes, read as signed, in which it counts as +1 or -1 in
+a single lane: their inner products estimate how many paragraphs two documents share
+(likeness). No text has enough paragraphs to wrap a signed lane.
 
 A paragraph is a line; a line of several sentences counts as one for each. Only DataFrame
 functions.
@@ -41,18 +41,17 @@ def _vector(rows: DataFrame, text: str, name: str) -> DataFrame:
     low = F.sequence(F.lit(0), F.lit(15))
     inner = lambda sub: F.transform(low, lambda j: F.aggregate(sub, F.lit(0), lambda s, c: s + F.when(c.bitwiseAND(F.lit(15)) == j, F.lit(1) - F.shiftright(c, 7) * 2).otherwise(0)))
     sketch = F.flatten(F.transform(high, lambda i: F.transform(F.array(F.filter(f"_{name}_c", lambda c: F.shiftright(c, 4).bitwiseAND(F.lit(7)) == i)), inner)[0]))
-    wrapped = F.transform(sketch, lambda v: F.pmod(v + 128, F.lit(256)) - 128)
-    return rows.withColumn(name, F.struct(F.col(f"_{name}_f").alias("full"), wrapped.alias("sketch"))).drop(units, *hashes, f"_{name}_f", f"_{name}_c")
+    return rows.withColumn(name, F.struct(F.col(f"_{name}_f").alias("full"), sketch.alias("sketch"))).drop(units, *hashes, f"_{name}_f", f"_{name}_c")
 
 
 def fingerprint_text(v: str) -> Column:
     """The vector in hexadecimal."""
-    return F.concat(F.array_join(F.transform(f"{v}.full", lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), ""), F.lit("-"), F.array_join(F.transform(f"{v}.sketch", lambda x: F.lpad(F.lower(F.hex(F.pmod(x, F.lit(256)))), 2, "0")), ""))
+    return F.concat(F.array_join(F.transform(f"{v}.full", lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), ""), F.lit("-"), F.array_join(F.transform(f"{v}.sketch", lambda x: F.lpad(F.lower(F.hex(x.cast("long").bitwiseAND(F.lit(_LOW)))), 8, "0")), ""))
 
 
 def likeness(a: str, b: str) -> Column:
     """0 to 1: 1 for equal fingerprints, else the cosine of the sketches (0 if negative or if one has no paragraphs)."""
-    dot = lambda x, y: F.aggregate(F.zip_with(f"{x}.sketch", f"{y}.sketch", lambda p, q: (p * q).cast("double")), F.lit(0.0), lambda s, p: s + p)
+    dot = lambda x, y: F.aggregate(F.zip_with(f"{x}.sketch", f"{y}.sketch", lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
     norm = dot(a, a) * dot(b, b)
     cosine = F.when(norm > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), dot(a, b) / F.sqrt(norm)))).otherwise(0.0)
     return F.when((F.col(f"{a}.full") == F.col(f"{b}.full")) & (F.col(f"{a}.sketch") == F.col(f"{b}.sketch")), 1.0).otherwise(cosine)
