@@ -36,8 +36,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of power-of-two lengths up to 2048."""
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), END_ID, with_ids=False)
+    """Sequences of power-of-two lengths up to 2048, with their ids."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), END_ID)
 
 
 STAGES = [
