@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions.geo import direction_ew_first, direction_ns_first
 from .functions.text import degrade
 from .operators import graphs, paths, variants
-from .sources.graphs import read_graph
+from .sources.graphs import Graph, read_graph
 from .sources.instructions import read_instructions, write_variants
 
 
@@ -35,10 +35,10 @@ class InstructionDegrader:
 
 
 class StreetGraph:
-    """Loads a graph; answers reachability, shortest paths, lengths and directions, singly or for tables of pairs."""
+    """Loads a graph, or takes one (as of graph_from_tables); answers reachability, shortest paths, lengths and directions, singly or for tables of pairs."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.graph = spark, read_graph(spark, path)
+    def __init__(self, spark: SparkSession, source: str | Graph):
+        self.spark, self.graph = spark, source if isinstance(source, Graph) else read_graph(spark, source)
 
     def _pair(self, start: str, end: str) -> DataFrame:
         return self.spark.createDataFrame([(start, end)], "start string, end string")

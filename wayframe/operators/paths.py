@@ -35,8 +35,9 @@ def geographic(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def by_length(edges: DataFrame) -> DataFrame:
-    """``src, dst, w`` by the stored column length: a missing one counts as 1, of parallel edges the least."""
-    return edges.groupBy("src", "dst").agg(F.min(F.coalesce("length", F.lit(1.0))).alias("w"))
+    """``src, dst, w`` by the stored column length: a missing one, or column, counts as 1, of parallel edges the least."""
+    length = F.coalesce("length", F.lit(1.0)) if "length" in edges.columns else F.lit(1.0)
+    return edges.groupBy("src", "dst").agg(F.min(length).alias("w"))
 
 
 def shortest_paths(sources: DataFrame, weighted: DataFrame) -> DataFrame:
