@@ -45,7 +45,7 @@ def jaccard_groups(texts, least=0.8):
     return links, label, sets
 
 
-@pytest.mark.parametrize("block,crowd", [(96, 256), (3, 2)])
+@pytest.mark.parametrize("block,crowd", [(192, 1024), (3, 2)])
 def test_near_duplicates(spark, monkeypatch, block, crowd):
     monkeypatch.setattr(lsh_forest, "BLOCK", block)
     monkeypatch.setattr(lsh_forest, "CROWD", crowd)
@@ -69,15 +69,42 @@ def test_near_odd(spark, odd, none):
 
 
 def test_prefix_is_shortened_to_the_target():
-    assert lsh_forest.prefix_length(0.8, 0.0) == lsh_forest.DEPTH
-    d = lsh_forest.prefix_length(0.8, 0.9999)
-    assert 1 - (1 - 0.8**d) ** lsh_forest.TREES >= 0.9999 > 1 - (1 - 0.8 ** (d + 1)) ** lsh_forest.TREES
+    assert lsh_forest.shortest_prefix(0.8, 0.0) == lsh_forest.DEPTH
+    d = lsh_forest.shortest_prefix(0.8, 0.9999)
+    assert lsh_forest.meeting_chance(0.8, d) >= 0.9999 > lsh_forest.meeting_chance(0.8, d + 1)
+
+
+def test_groups_of_a_trie_node():
+    """Without similarities in the way all classes of a node are one group; groups that have reached the target aren't compared with one another."""
+    forest = lsh_forest.Forest(0.8, 0.9999)
+    rng = np.random.default_rng(3)
+    near = rng.integers(0, 1 << 16, lsh_forest.TREES * lsh_forest.DEPTH)
+    other = near.copy()
+    other[: int(len(near) * 0.3)] = rng.integers(0, 1 << 16, int(len(near) * 0.3))  # shows 0.7: passes, yet is no sign of a near copy
+    far = rng.integers(0, 1 << 16, len(near))
+    label = lambda last: [1, 2, 3, 4, 5, last]
+    both = lambda kinds: forest.grouped(np.array([label(k) for k, _ in kinds]), np.array([s for _, s in kinds])).tolist()
+    assert both([(1, near), (1, near), (2, near), (3, far)]) == [0, 0, 0, 3]
+    assert both([(1, near), (1, near), (2, other), (2, other)]) == [0, 0, 2, 2]  # two groups with all their links found
+    assert both([(1, near), (1, near), (2, other)]) == [0, 0, 0]  # a class alone may still miss a partner
+    assert both([(1, near), (1, other), (2, near), (2, other)]) == [0, 0, 0, 0]  # weak links: the prefix is shortened
+    sides = forest.grouped(np.array([label(1)] * 3), np.array([near] * 3), np.array([0, 0, 1]))
+    assert sides.tolist() == [0, 0, 0] and forest.grouped(np.array([label(1)] * 2), np.array([near] * 2), np.array([1, 1])).tolist() == [0, 1]
 
 
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 102), (102, 101), (7, 7), (None, 3)]
     got = {r.node: r.label for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100, 102: 100}
+    rng = random.Random(4)
+    pairs = [(0, k) for k in range(1, 300)] + [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(220)]
+    label = {x: x for p in pairs for x in p}
+    for _ in label:
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r.node: r.label for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {x: y for x, y in label.items() if x in {p for a, b in pairs if a != b for p in (a, b)}}
+    assert connected_components(spark.createDataFrame([(3, 3)], "a long, b long")).count() == 0
 
 
 @pytest.mark.parametrize("shards", [1, 2, 5])

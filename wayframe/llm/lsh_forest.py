@@ -2,17 +2,21 @@
 
 1. Each text gets its set of shingle hashes; equal sets form one class, and one signature stands
    for the class.
-2. A signature is laid out as TREES sorted prefix tries of DEPTH minimum hashes each. The match
-   starts at whole prefixes and is shortened until a pair at the threshold meets in some tree
-   with the target probability; classes with a common prefix of that length meet.
-3. Where they meet, signatures rule out pairs far below the threshold. What is left forms
-   neighbourhoods (connected components), which are cut into blocks; each pair of blocks is a
-   task of bounded size that computes exact similarities as a product of sparse 0/1 matrices.
-   Links are counted there and only a spanning forest of them leaves the task.
-4. Components of the verified links are the groups.
-
-A trie node that more than CROWD classes share isn't compared pair by pair: its classes go to
-one neighbourhood, whose blocks do the exact work.
+2. A signature is TREES labels of DEPTH symbols, each symbol a minimum hash. Each tree is a trie
+   of the classes' labels, kept as sorted labels: neighbours' common prefixes give its nodes.
+3. A group of classes starts as those with a whole label in common. Its prefix is shortened
+   symbol by symbol, which lets it meet the groups beside it, until the estimated recall of its
+   links (from the similarity that signatures show) reaches the target. A class that has met
+   nobody is taken to have a partner at the threshold, so it goes down to the length at which
+   such a pair meets with the target probability; no prefix needs to be shorter than that.
+4. Meeting classes whose signatures don't rule them out form neighbourhoods (connected
+   components), which are cut into blocks; each pair of blocks is a task of bounded size that
+   computes exact similarities as a product of sparse 0/1 matrices. Links are counted there and
+   only a spanning forest of them leaves the task.
+5. Components of the verified links are the groups.
+
+A trie node of more than CROWD classes is cut into blocks too, and pairs of blocks are compared
+one by one, so no node is gathered whole and no pair of a node is left out.
 """
 
 from __future__ import annotations
@@ -29,14 +33,21 @@ from .common import stored, steps
 from .components import connected_components
 from .shingles import mixed, shingle_sets
 
-TREES, DEPTH, CROWD, BLOCK = 24, 6, 256, 96
+TREES, DEPTH, CROWD, BLOCK = 24, 6, 1024, 192
 #: A pair is ruled out if its signatures agree so many standard deviations less often than at the threshold.
 SIGMAS = 5.0
+#: Standard deviations by which a similarity that signatures show is lowered before recall is estimated from it.
+CAUTION = 2.0
 
 
-def prefix_length(threshold: float, target: float, trees: int = TREES, depth: int = DEPTH) -> int:
-    """Shortens the matched prefix until a pair at the threshold is found with the target probability."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < target:
+def meeting_chance(similarity: float, depth: int, trees: int = TREES) -> float:
+    """The probability that a pair has the first depth symbols in common in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
+def shortest_prefix(threshold: float, target: float, trees: int = TREES, depth: int = DEPTH) -> int:
+    """The length at which a pair at the threshold meets with the target probability (1 at least)."""
+    while depth > 1 and meeting_chance(threshold, depth, trees) < target:
         depth -= 1
     return depth
 
@@ -57,29 +68,22 @@ def signature(shingles: np.ndarray, factor: np.ndarray, shift: np.ndarray) -> np
     return out
 
 
-def _signed(docs: DataFrame, words: int, depth: int, match: int) -> DataFrame:
-    """``doc_id, text_hash, set_key, prefixes array<long>, marks``: a class key, trie prefixes and one byte of each minimum. Texts without a word have null keys."""
-    factor, shift = _constants(TREES, depth)
-    tree = mixed(np.arange(1, TREES + 1, dtype=np.uint64) << np.uint64(40))[:, None]
+def _signed(docs: DataFrame, words: int) -> DataFrame:
+    """``doc_id, text_hash, set_key, labels``: a class key and the TREES labels end to end, symbols of two bytes. Texts without a word have null keys."""
+    factor, shift = _constants(TREES, DEPTH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, 1):
-            keys, prefixes, marks = [], [], []
+            keys, labels = [], []
             for s in shingle_sets(batch.column(1), words):
                 if not len(s):
-                    keys.append(None), prefixes.append(None), marks.append(None)
+                    keys.append(None), labels.append(None)
                     continue
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()))
-                sig = signature(s, factor, shift)
-                marks.append((sig * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8).tobytes())
-                h = tree.copy()
-                with np.errstate(over="ignore"):
-                    for k in range(match):
-                        h = mixed(h + sig.reshape(TREES, depth)[:, k : k + 1])
-                prefixes.append(h.ravel().view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(marks, pa.binary())], ["doc_id", "text_hash", "set_key", "prefixes", "marks"])
+                labels.append((signature(s, factor, shift) * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(">u2").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(labels, pa.binary())], ["doc_id", "text_hash", "set_key", "labels"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, set_key binary, prefixes array<long>, marks binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, set_key binary, labels binary")
 
 
 class _Union:
@@ -137,32 +141,92 @@ def _starts(t: pa.Table, keys: int) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _meetings(classes: DataFrame, threshold: float, depth: int) -> DataFrame:
-    """Edges ``a, b`` between classes that share a trie prefix and whose signatures don't rule them out; a spanning forest for each prefix."""
-    m = TREES * depth
-    least = threshold - SIGMAS * float(np.sqrt(threshold * (1 - threshold) / m))
+class Forest:
+    """What a trie node's classes have to do with each other; threshold and target as in near_duplicates."""
+
+    def __init__(self, threshold: float, target: float):
+        self.threshold, self.target = threshold, target
+        self.shortest = shortest_prefix(threshold, target)
+        self.spread = float(np.sqrt(threshold * (1 - threshold) / (TREES * DEPTH)))
+        self.least = threshold - SIGMAS * self.spread
+
+    def enough(self, shown: float, depth: int) -> bool:
+        """Whether links as weak as shown are found at this depth with the target probability."""
+        return meeting_chance(min(1.0, max(self.threshold, shown - CAUTION * self.spread)), depth) >= self.target
+
+    def grouped(self, labels: np.ndarray, signatures: np.ndarray, side: np.ndarray | None = None) -> np.ndarray:
+        """For sorted labels (a row of symbols each) the group of each class, as the place of its first.
+
+        side: only classes of different sides are compared. From whole labels down to the
+        shortest prefix: runs with a common prefix of that length are groups; a run compares
+        classes of different runs before it, save two runs that have reached the target.
+        """
+        n = len(labels)
+        group, done, weakest = np.arange(n), np.zeros(n, bool), np.ones(n)
+        common = np.concatenate([[0], (labels[1:] == labels[:-1]).cumprod(axis=1).sum(axis=1)])  # symbols shared with the class before
+        before = np.arange(n)  # the run of one symbol more
+        for depth in range(DEPTH, self.shortest - 1, -1):
+            at = np.append(np.flatnonzero(common < depth), n)
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+                if b - a < 2:
+                    continue
+                for i in range(a, b - 1):
+                    rest = np.arange(i + 1, b)
+                    # Equal groups need no further link; runs that have reached the target need none between them.
+                    rest = rest[(group[rest] != group[i]) & (before[rest] != before[i]) & ~(done[i] & done[rest])]
+                    if side is not None:
+                        rest = rest[side[rest] != side[i]]
+                    if not len(rest):
+                        continue
+                    shown = (signatures[rest] == signatures[i]).mean(axis=1)
+                    for j, s in zip(rest[shown >= self.least].tolist(), shown[shown >= self.least].tolist()):
+                        low, high = sorted((group[i], group[j]))
+                        if low != high:
+                            group[a:b][group[a:b] == high] = low
+                            weakest[i] = min(weakest[i], s)
+                before[a:b], weakest[a:b] = a, weakest[a:b].min()
+                done[a:b] = (group[a:b] == group[a]).all() and self.enough(weakest[a], depth)
+        return group
+
+
+def _meetings(classes: DataFrame, forest: Forest) -> DataFrame:
+    """Edges ``a, b`` between classes that meet in a trie and whose signatures don't rule them out: from each class to the least of its group there."""
+    width, end = 2 * DEPTH, 2 * forest.shortest
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _runs(batches, 1):
-            keys, marks = t.column(1).to_pylist(), np.frombuffer(b"".join(t.column(2).to_pylist()), np.uint8).reshape(-1, m)
-            at, out = _starts(t, 1), set()
+        for t in _runs(batches, 3):
+            low, high, block = (t.column(k).to_numpy() for k in (1, 2, 3))
+            keys = t.column(4).to_pylist()
+            label = np.frombuffer(b"".join(t.column(5).to_pylist()), ">u2").reshape(-1, DEPTH)
+            signatures = np.frombuffer(b"".join(t.column(6).to_pylist()), ">u2").reshape(-1, TREES * DEPTH)
+            at, out = _starts(t, 3), set()
+            two = at[:-1][np.diff(at) == 2]  # most nodes: one pair, which meets at the node whatever more it has in common
+            shown = (signatures[two] == signatures[two + 1]).mean(axis=1)
+            out.update(tuple(sorted(keys[i : i + 2])) for i in two[(shown >= forest.least) & ((low == high)[two] | (block[two] != block[two + 1]))].tolist())
             for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-                group = _Union(b - a)
-                for i in range(a, b - 1):
-                    for j in np.flatnonzero((marks[i + 1 : b] == marks[i]).mean(axis=1) >= least).tolist():
-                        if group.join(i - a, i + 1 + j - a):
-                            out.add((keys[i], keys[i + 1 + j]))
+                if b - a < 3:
+                    continue
+                group = forest.grouped(label[a:b], signatures[a:b], block[a:b] if low[a] != high[a] else None)
+                of: dict[int, list[bytes]] = {}
+                for g, k in zip(group.tolist(), keys[a:b]):
+                    of.setdefault(g, []).append(k)
+                for members in of.values():
+                    first = min(members)
+                    out.update((first, k) for k in members if k != first)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.binary()) for x in zip(*out)], ["a", "b"])
 
-    nodes = classes.select("set_key", F.explode("prefixes").alias("prefix"))
-    shared = nodes.groupBy("prefix").agg(F.count("*").alias("n"), F.min("set_key").alias("first")).where("n > 1")
-    met = nodes.join(shared, "prefix")
-    crowded = met.where(F.col("n") > CROWD).select(F.col("first").alias("a"), F.col("set_key").alias("b"))
-    few = met.where(F.col("n") <= CROWD).groupBy("set_key").agg(F.collect_list("prefix").alias("prefixes"))
-    few = few.join(classes.select("set_key", "marks"), "set_key").select(F.explode("prefixes").alias("prefix"), "set_key", "marks")
-    compared = few.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(compare, "a binary, b binary")
-    return compared.unionByName(crowded).distinct()
+    tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
+    nodes = classes.select("set_key", "labels", tree).select("set_key", "tree", F.xxhash64("tree", F.expr(f"substring(labels, tree * {width} + 1, {end})")).alias("node"))
+    shared = nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node", F.ceil(F.col("n") / CROWD).cast("int").alias("blocks"))
+    met = nodes.join(shared, "node").groupBy("set_key").agg(F.collect_list(F.struct("node", "tree", "blocks")).alias("nodes"))  # TREES at most
+    rows = met.join(classes.select("set_key", "labels"), "set_key").select("set_key", "labels", F.explode("nodes").alias("v"))
+    block = F.pmod(F.xxhash64("set_key"), F.col("v.blocks").cast("long")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("v.blocks") - 1)).alias("other")
+    rows = rows.select("v.node", block.alias("block"), "set_key", F.expr(f"substring(labels, v.tree * {width} + 1, {width})").alias("label"), "labels", other)
+    tiles = rows.select("node", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "set_key", "label", "labels")
+    dealt = tiles.repartition("node", "low", "high").sortWithinPartitions("node", "low", "high", "label", "set_key")
+    return dealt.mapInArrow(compare, "a binary, b binary")
 
 
 def _verified(members: DataFrame, docs: DataFrame, words: int, threshold: float) -> DataFrame:
@@ -232,11 +296,10 @@ def _tile(t: pa.Table, threshold: float) -> list[tuple]:
 
 def _grouped(docs: DataFrame, words: int, threshold: float, target: float) -> DataFrame:
     """For each row ``doc_id, text_hash, set_key, class_id, one, n_links, n_texts``; one: the document that stands for the group."""
-    match = prefix_length(threshold, target)
-    signed = stored(_signed(docs, words, DEPTH, match), "signatures")
-    classes = signed.where("set_key IS NOT NULL").groupBy("set_key").agg(F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("rep"), F.first("prefixes").alias("prefixes"), F.first("marks").alias("marks"))
+    signed = stored(_signed(docs, words), "signatures")
+    classes = signed.where("set_key IS NOT NULL").groupBy("set_key").agg(F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("rep"), F.first("labels").alias("labels"))
     classes = stored(classes, "classes")
-    near = connected_components(_meetings(classes, threshold, DEPTH))
+    near = connected_components(_meetings(classes, Forest(threshold, target)))
     sizes = near.groupBy("label").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     spread = F.pmod(F.xxhash64("set_key"), F.col("blocks").cast("long")).cast("int")
     members = near.withColumnRenamed("node", "set_key").join(sizes.select("label", "blocks"), "label").join(classes.select("set_key", "copies", "rep"), "set_key").select("set_key", "label", "blocks", spread.alias("block"), "copies", "rep")
