@@ -124,7 +124,7 @@ def test_merged_transforms(shards):
             assert hit.tolist() == [count[s[i : i + 200]] > 1 for i in range(len(s) - 199)]
 
 
-@pytest.mark.parametrize("crowd", [192, 1])
+@pytest.mark.parametrize("crowd", [2048, 1])
 def test_suffix_dedup(spark, monkeypatch, odd, crowd):
     monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
     texts = [*corpus(40, 8), "ab" * 300, None, "", "x" * 199, "y" * 201]
@@ -145,6 +145,52 @@ def test_suffix_dedup(spark, monkeypatch, odd, crowd):
     assert sorted(map(tuple, suffix_dedup.removal_digests(docs).collect())) == sorted(want)
 
 
+def removed(rows):
+    """Bytes of each text that 200-byte strings with another start cover."""
+    count = Counter(hash(d[k : k + 200]) for d in rows for k in range(len(d) - 199))
+    out = []
+    for d in rows:
+        covered = np.zeros(len(d) + 1, int)
+        hits = [k for k in range(len(d) - 199) if count[hash(d[k : k + 200])] > 1]
+        np.add.at(covered, hits, 1)
+        np.add.at(covered, np.array(hits, int) + 200, -1)
+        out.append(int((np.cumsum(covered)[: len(d)] > 0).sum()))
+    return out
+
+
+@pytest.mark.parametrize("crowd", [2048, 8])
+def test_alike_stretches_and_periodic_texts(spark, monkeypatch, crowd):
+    """A passage in many different surroundings, texts of one letter or of a short period, and lines of dashes."""
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = word(330)
+    texts = [word(rng.randint(0, 250)) + passage[: rng.choice([330, 330, 260, 205, 190])] + word(rng.randint(0, 250)) for _ in range(300)]
+    texts += ["a" * 30_000, "b" * 200, "c" * 201, "ab" * 3000, "xyz" * 700 + word(300), "a" * 500 + word(250) + "a" * 450]
+    texts += [word(150) + "-" * 120 + word(150) for _ in range(20)] + [(word(170) + "q") * 5, passage[40:300]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.removal_digests(docs).collect()}
+    assert [got[k] for k in range(len(texts))] == removed([t.encode() for t in texts])
+
+
+def test_rows_of_periodic_text():
+    """One letter a million times is a row or two, not a million; a long text of random letters has few stretches."""
+    assert len(suffix_dedup.stretches([b"a" * 1_000_000])[0]) <= 2
+    assert len(suffix_dedup.stretches([b"abcab" * 200_000])[0]) <= 8
+    assert len(suffix_dedup.stretches([np.random.default_rng(1).integers(97, 123, 1_000_000).astype(np.uint8).tobytes()])[0]) < 20_000
+
+
+def test_symbols_are_told_apart_by_their_bytes(monkeypatch):
+    from wayframe.llm import bwt
+
+    data = np.frombuffer(bytes(range(97, 123)) * 20, np.uint8)
+    at = np.arange(len(data) - bwt.SYMBOL + 1)
+    want = bwt._numbered(data, at)
+    monkeypatch.setattr(bwt, "run_hashes", lambda sums, inverse, a, b: np.zeros(len(a), np.uint64))
+    got = bwt._numbered(data, at)
+    assert len(set(got.tolist())) == len(set(zip(got.tolist(), want.tolist()))) == len(set(want.tolist())) == 26
+
+
 def test_repeats_odd(spark, odd, none):
     out = suffix_dedup.remove_repeats(odd)
     assert out.columns == odd.columns and out.count() == 9

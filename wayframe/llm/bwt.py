@@ -2,7 +2,7 @@
 
 The strings are byte strings; a symbol is a block of SYMBOL bytes, so the suffix at each byte
 place is a string of whole symbols (its place's phase) and ends in a terminator of its own.
-Symbols are numbered by hash; any order of symbols serves.
+Symbols are numbered in any order; their bytes are compared, so equal numbers mean equal bytes.
 
 A shard's transform lists, for its suffixes in order, the symbol before each. The merge starts
 with the shards one after another and refines: after step h the interleave orders all suffixes
@@ -35,6 +35,18 @@ def run_hashes(sums: np.ndarray, inverse: np.ndarray, starts: np.ndarray, ends:
         return mixed((sums[ends] - sums[starts]) * inverse[starts] ^ (ends - starts).astype(np.uint64) * np.uint64(_INVERSE))
 
 
+def _numbered(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A number for the SYMBOL bytes at each place: by hash, and by the bytes themselves should two differ under one hash."""
+    sums, inverse = prefix_sums(data)
+    _, first, number = np.unique(run_hashes(sums, inverse, at, at + SYMBOL), return_index=True, return_inverse=True)
+    words = np.ndarray((len(data) - 7,), "<u8", data.tobytes(), strides=(1,))  # eight bytes from every place
+    like = at[first[number]]
+    parts = (0, 8, 16, SYMBOL - 8)
+    if all((words[at + k] == words[like + k]).all() for k in parts):
+        return number
+    return np.unique(np.stack([words[at + k] for k in parts], axis=1), axis=0, return_inverse=True)[1].ravel()
+
+
 def _ordered(symbols: np.ndarray, after: np.ndarray, depth: int) -> np.ndarray:
     """A shard's suffixes in the order of their first depth symbols (depth a power of two).
 
@@ -102,11 +114,9 @@ def repeated(strings: list[bytes], length: int, shards: int = 4) -> list[np.ndar
     place = np.arange(len(of)) - np.repeat(begins[:-1] + np.arange(len(strings)), sizes + 1)
     left = sizes[of] - place
     whole = left >= SYMBOL
-    sums, inverse = prefix_sums(data)
-    at = (begins[of] + place)[whole]
-    _, number = np.unique(run_hashes(sums, inverse, at, at + SYMBOL), return_inverse=True)
     symbol = np.empty(len(of), np.int64)
-    symbol[whole] = number
+    if whole.any():
+        symbol[whole] = _numbered(data, (begins[of] + place)[whole])
     symbol[~whole] = np.arange(-int((~whole).sum()), 0)
     start_of = begins[:-1] + np.arange(len(strings))
     cuts = np.searchsorted(np.cumsum(sizes), len(data) * np.arange(1, shards) / shards) + 1

@@ -3,16 +3,21 @@
 1. Anchors. Each window of LENGTH bytes is given the leftmost GRAM-byte string in it with the
    least hash. Windows with one anchor are consecutive; the bytes under them are a *stretch*.
    Equal windows have equal anchors, so a window can only be repeated within its anchor's group,
-   and windows in two stretches of a document never overlap as whole windows.
-2. Groups of one stretch hold nothing repeated; groups whose stretches are all equal are repeated
-   throughout. Both are told by counts alone.
-3. Other groups' different stretches are fetched and gathered by anchor. Tasks build
-   Burrows-Wheeler transforms of shards of them and merge these (see bwt.py); common prefixes of
-   LENGTH bytes or more give the repeated places.
-4. Groups of more than CROWD different stretches aren't gathered: their stretches are cut into
-   cells of CELL windows, keyed by the bytes that all windows of a cell share, and what is still
-   shared is counted window by window, as partial aggregates.
+   and there only at the same distance from the anchor. Stretches that follow one another and
+   are equal, as in periodic text, are one row with a count.
+2. Stretches of equal bytes are one *kind*. Groups of one kind are repeated throughout or not at
+   all; that is their count.
+3. The kinds of other groups are fetched and gathered by group. Tasks build Burrows-Wheeler
+   transforms of shards of them and merge these (see bwt.py); common prefixes of LENGTH bytes or
+   more give the repeated places.
+4. A group of more than CROWD kinds is divided first: its kinds are cut into cells of windows at
+   the same distances from the anchor, and grouped by the bytes that all windows of a cell
+   share. Cells get narrower (WIDTHS) until a group has CROWD kinds or fewer and is merged. A
+   cell of one window is grouped by all its bytes, so each group ends, however large it was.
 5. Repeated places become byte spans of every document with that stretch, and are cut out.
+
+Kinds are told apart by 128-bit hashes (xxh3): among 10**12 of them two differ in bytes and not
+in hash with a probability under 10**-14. Inside merges bytes are compared.
 """
 
 from __future__ import annotations
@@ -22,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,10 +36,13 @@ from pyspark.sql import types as T
 from .bwt import prefix_sums, repeated, run_hashes
 from .common import discard, shared_dir, stored, steps
 
-LENGTH, GRAM, CROWD, CELL = 200, 40, 192, 16
-#: Bytes of stretches that one merge takes.
+LENGTH, GRAM, CROWD = 200, 40, 2048
+#: Windows in the cells of crowded groups, level by level; the last is one.
+WIDTHS = (41, 11, 3, 1)
+#: Bytes of stretches that one merge takes, if it holds several groups.
 MERGE_BYTES = 1 << 20
 _NO_ID = -(1 << 63)
+_HASH_SEED = 0x5EED
 
 
 def _keys() -> list[Column]:
@@ -41,11 +50,22 @@ def _keys() -> list[Column]:
     return [F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("h")]
 
 
+def _kinds(data: bytes, starts: list[int], ends: list[int], seeds: list[int] | None = None) -> np.ndarray:
+    """128-bit hashes of data[start:end] as rows of two longs; seeds: what else is told apart."""
+    digest = xxhash.xxh3_128_digest
+    if seeds is None:
+        hashed = [digest(data[a:b], _HASH_SEED) for a, b in zip(starts, ends)]
+    else:
+        hashed = [digest(data[a:b], _HASH_SEED + (k + 256 << 16)) for a, b, k in zip(starts, ends, seeds)]
+    return np.frombuffer(b"".join(hashed), np.int64).reshape(-1, 2)
+
+
 def stretches(parts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """``text, start, windows, anchor place, anchor, content`` of all stretches of texts (arrays; places in the text, anchor and content as hashes)."""
+    """``text, start, windows, anchor_at, times, anchor, c1, c2`` of all stretches of texts (arrays; anchor_at from the start, anchor and content as hashes; times: so many equal stretches in a row)."""
     sizes = np.array([len(p) for p in parts], np.int64)
     begins = np.concatenate([[0], np.cumsum(sizes)])
-    data = np.frombuffer(b"".join(parts), np.uint8)
+    joined = b"".join(parts)
+    data = np.frombuffer(joined, np.uint8)
     n, width = len(data), LENGTH - GRAM + 1
     mark = np.zeros(n + 1, np.int32)
     long = sizes >= LENGTH
@@ -53,26 +73,35 @@ def stretches(parts: list[bytes]) -> tuple[np.ndarray, ...]:
     np.add.at(mark, begins[:-1][long] + sizes[long] - LENGTH + 1, -1)
     valid = np.flatnonzero(np.cumsum(mark)[: max(0, n - LENGTH + 1)] > 0)
     if not len(valid):
-        return tuple(np.empty(0, t) for t in (np.int64, np.int32, np.int32, np.int32, np.int64, np.int64))
+        return tuple(np.empty(0, t) for t in (np.int64, np.int32, np.int32, np.int32, np.int32, np.int64, np.int64, np.int64))
     sums, inverse = prefix_sums(data)
     grams = np.arange(n - GRAM + 1)
     hashes = run_hashes(sums, inverse, grams, grams + GRAM)
-    low = np.uint64((1 << 24) - 1)  # texts handled together are shorter in sum, or one text
-    if n > int(low):
-        low = np.uint64((1 << 32) - 1)
-    least, reach = (hashes & ~low) | grams.astype(np.uint64), 1
+    # 32 bits of the hash, then the place, so the leftmost of equal ones. Runs of one byte come last: they would be anchors of one window each.
+    order = np.minimum(hashes >> np.uint64(32), np.uint64((1 << 32) - 2))
+    same = np.concatenate([[0], np.cumsum(data[1:] == data[:-1], dtype=np.int32)])
+    order[same[GRAM - 1 :] - same[: n - GRAM + 1] == GRAM - 1] = np.uint64((1 << 32) - 1)
+    least, reach = (order << np.uint64(32)) | grams.astype(np.uint64), 1
     while reach * 2 <= width:
         least = np.minimum(least[:-reach], least[reach:])
         reach *= 2
     if width > reach:
         least = np.minimum(least[: len(least) - (width - reach)], least[width - reach :])
-    place = (least[valid] & low).astype(np.int64)
+    place = (least[valid] & np.uint64((1 << 32) - 1)).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (valid[1:] != valid[:-1] + 1)]))
     start, windows = valid[first], np.diff(np.concatenate([first, [len(valid)]]))
     place = place[first]
     text = np.searchsorted(begins, start, side="right") - 1
-    content = run_hashes(sums, inverse, start, start + windows + LENGTH - 1)
-    return text, (start - begins[text]).astype(np.int32), windows.astype(np.int32), (place - start).astype(np.int32), hashes[place].view(np.int64), content.view(np.int64)
+    # Equal stretches in a row have one anchor, at one distance, and as many windows each; their bytes decide.
+    again = np.concatenate([[False], (hashes[place[1:]] == hashes[place[:-1]]) & (windows[1:] == windows[:-1]) & (start[1:] == start[:-1] + windows[:-1]) & (text[1:] == text[:-1])])
+    for k in np.flatnonzero(again).tolist():
+        a, b = int(start[k]), int(start[k] + windows[k]) + LENGTH - 1
+        again[k] = joined[a:b] == joined[a - int(windows[k]) : b - int(windows[k])]
+    once = np.flatnonzero(~again)
+    times = np.diff(np.append(once, len(start)))
+    text, start, windows, place = text[once], start[once], windows[once], place[once]
+    content = _kinds(joined, start.tolist(), (start + windows + LENGTH - 1).tolist())
+    return text, (start - begins[text]).astype(np.int32), windows.astype(np.int32), (place - start).astype(np.int32), times.astype(np.int32), hashes[place].view(np.int64), content[:, 0], content[:, 1]
 
 
 def _compressed(rows: DataFrame, name: str) -> DataFrame:
@@ -93,7 +122,7 @@ def _expanded(frames: pa.Array) -> list[bytes | None]:
     return [None if f is None else unpack(f) for f in frames.to_pylist()]
 
 
-_STRETCH = "id long, h long, start int, windows int, anchor_at int, anchor long, content long"
+_STRETCH = "id long, h long, start int, windows int, anchor_at int, times int, anchor long, c1 long, c2 long"
 
 
 def _all_stretches(docs: DataFrame) -> DataFrame:
@@ -106,115 +135,121 @@ def _all_stretches(docs: DataFrame) -> DataFrame:
     return docs.where("text IS NOT NULL").select(*_keys(), "text").mapInArrow(run, _STRETCH)
 
 
-def _ranges(hit: np.ndarray) -> list[tuple[int, int]]:
-    """Runs of True as (from, to), to exclusive."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-    return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
-
-
-def _fetched(different: DataFrame, docs: DataFrame) -> DataFrame:
-    """The bytes of each different stretch, from the document that ``at`` names: ``anchor, content, copies, crowded, anchor_at, bytes``. Equal rows of docs give equal rows."""
+def _fetched(kinds: DataFrame, docs: DataFrame) -> DataFrame:
+    """The bytes of each kind, from the document that ``at`` names: ``g1, g2, k1, k2, copies, crowded, place, bytes``. Equal rows of docs give equal rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             wanted, data = batch.column(0), _expanded(batch.column(1))
             flat, owner = wanted.flatten(), np.repeat(np.arange(len(wanted)), pa.compute.list_value_length(wanted).to_numpy())
-            columns = {k: flat.field(k) for k in ("anchor", "content", "copies", "crowded", "anchor_at")}
+            columns = {k: flat.field(k) for k in ("g1", "g2", "k1", "k2", "copies", "crowded", "place")}
             cut = [data[i][s : s + w + LENGTH - 1] for i, s, w in zip(owner.tolist(), flat.field("start").to_pylist(), flat.field("windows").to_pylist())]
             yield pa.RecordBatch.from_pydict(columns | {"bytes": pa.array(cut, pa.binary())})
 
-    wanted = different.select("at.id", "at.h", F.struct("anchor", "content", "copies", "crowded", "at.start", "at.windows", "at.anchor_at").alias("w")).groupBy("id", "h").agg(F.collect_list("w").alias("wanted"))
+    one = F.struct(F.col("anchor").alias("g1"), F.lit(0).cast("long").alias("g2"), F.col("c1").alias("k1"), F.col("c2").alias("k2"), "copies", "crowded", (-F.col("at.anchor_at")).alias("place"), "at.start", "at.windows")
+    wanted = kinds.select("at.id", "at.h", one.alias("w")).groupBy("id", "h").agg(F.collect_list("w").alias("wanted"))
     texts = _compressed(docs.where("text IS NOT NULL").select(*_keys(), "text"), "frame").join(wanted.hint("shuffle_hash"), ["id", "h"])
-    return texts.select("wanted", "frame").mapInArrow(run, "anchor long, content long, copies long, crowded boolean, anchor_at int, bytes binary")
+    return texts.select("wanted", "frame").mapInArrow(run, "g1 long, g2 long, k1 long, k2 long, copies long, crowded boolean, place int, bytes binary")
 
 
-_FOUND = "anchor long, content long, ranges array<struct<a:int,b:int>>"
+_FOUND = "k1 long, k2 long, a int, b int"
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor and content to the repeated ranges of windows of each stretch; whole groups are merged together."""
-    held: list[tuple[int, int, bytes]] = []
-    size, last = 0, None
+def _merged(rows: DataFrame) -> DataFrame:
+    """Repeated ranges of windows of kinds: rows ``g1, g2, k1, k2, bytes`` to _FOUND; whole groups are merged together."""
 
-    def out() -> pa.RecordBatch:
-        rows = [(a, c, _ranges(hit)) for (a, c, _), hit in zip(held, repeated([x for *_, x in held], LENGTH)) if hit.any()]
-        ranges = pa.array([[{"a": a, "b": b} for a, b in r] for *_, r in rows], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), ranges], ["anchor", "content", "ranges"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[tuple[int, int], tuple[int, int], bytes]] = []
+        size = 0
 
-    for batch in batches:
-        for a, c, x in zip(batch.column("anchor").to_pylist(), batch.column("content").to_pylist(), batch.column("bytes").to_pylist()):
-            if last == (a, c):
-                continue  # an equal row of docs
-            if size >= MERGE_BYTES and a != last[0]:
-                yield out()
-                held, size = [], 0
-            held.append((a, c, x))
-            size, last = size + len(x), (a, c)
-    if held:
-        yield out()
+        def out() -> pa.RecordBatch:
+            made: list[list] = [[], [], [], []]
+            for (_, k, _), hit in zip(held, repeated([x for *_, x in held], LENGTH)):
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+                for c, v in zip(made, ([k[0]] * (len(edge) // 2), [k[1]] * (len(edge) // 2), edge[::2].tolist(), edge[1::2].tolist())):
+                    c += v
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(made, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["k1", "k2", "a", "b"])
 
+        for batch in batches:
+            g1, g2, k1, k2, data = (batch.column(k).to_pylist() for k in ("g1", "g2", "k1", "k2", "bytes"))
+            for g, k, x in zip(zip(g1, g2), zip(k1, k2), data):
+                if held and held[-1][1] == k:
+                    continue  # an equal row of docs
+                if size >= MERGE_BYTES and g != held[-1][0]:
+                    yield out()
+                    held, size = [], 0
+                held.append((g, k, x))
+                size += len(x)
+        if held:
+            yield out()
 
-def _crowded(bytes_of: DataFrame) -> DataFrame:
-    """Repeated windows of crowded groups, by cells and then by single windows: rows as _FOUND, one range for each repeated window."""
+    keys = ("g1", "g2", "k1", "k2")
+    return rows.select(*keys, "bytes").repartition("g1", "g2").sortWithinPartitions(*keys).mapInArrow(run, _FOUND)
+
+
+_CELL = "o1 long, o2 long, a0 int, g1 long, g2 long, k1 long, k2 long, copies long, place int, bytes binary"
+
+
+def _divided(rows: DataFrame, level: int = 0) -> DataFrame:
+    """Repeated ranges (_FOUND) of the kinds of crowded groups, ``k1, k2, copies, place, bytes``: by cells of WIDTHS[level] windows, and narrower ones where those are crowded."""
+    width = WIDTHS[level]
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("key", "anchor", "content", "copies", "first", "bytes")}
-            for a, c, n, at, x in zip(*(batch.column(k).to_pylist() for k in ("anchor", "content", "copies", "anchor_at", "bytes"))):
+            out: dict[str, list] = {c.split()[0]: [] for c in _CELL.split(", ")}
+            for k1, k2, n, at, x in zip(*(batch.column(k).to_pylist() for k in ("k1", "k2", "copies", "place", "bytes"))):
                 windows = len(x) - LENGTH + 1
-                # Cells are counted from the anchor, so that they lie alike in all stretches of a group.
-                for cell in range((-at) // CELL, (windows - 1 - at) // CELL + 1):
-                    lo, hi = cell * CELL + at, (cell + 1) * CELL + at
-                    a0, b0 = max(lo, 0), min(hi, windows)
-                    key = hashlib.blake2b(x[hi - 1 : lo + LENGTH], digest_size=8, salt=cell.to_bytes(4, "little", signed=True)).digest()
-                    for k, v in zip(out, (int.from_bytes(key, "little", signed=True), a, c, n, a0, x[a0 : b0 + LENGTH - 1])):
-                        out[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(out.values(), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], list(out))
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = batch.column("bytes").to_pylist()
-            if not parts:
-                continue
-            sizes = np.array([len(p) for p in parts])
-            begins, each = np.concatenate([[0], np.cumsum(sizes)])[:-1], sizes - LENGTH + 1
-            owner = np.repeat(np.arange(len(parts)), each)
-            inside = np.arange(len(owner)) - np.repeat(np.concatenate([[0], np.cumsum(each)])[:-1], each)
-            sums, inverse = prefix_sums(np.frombuffer(b"".join(parts), np.uint8))
-            at = begins[owner] + inside
-            rows = batch.take(pa.array(owner))
-            yield pa.RecordBatch.from_arrays([pa.array(run_hashes(sums, inverse, at, at + LENGTH).view(np.int64)), rows.column("anchor"), rows.column("content"), rows.column("copies"), pa.array((rows.column("first").to_numpy() + inside).astype(np.int32))], ["window", "anchor", "content", "copies", "a"])
-
-    once = bytes_of.where("crowded").select("anchor", "content", "copies", "anchor_at", "bytes").dropDuplicates(["anchor", "content"])
-    cut = stored(once.mapInArrow(cells, "key long, anchor long, content long, copies long, first int, bytes binary"), "cells")
-    shared = cut.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    seen = stored(cut.join(shared, "key").drop("key").mapInArrow(windows, "window long, anchor long, content long, copies long, a int"), "windows")
-    again = seen.groupBy("window").agg(F.sum("copies").alias("n")).where("n > 1").select("window")
-    return seen.join(again, "window").select("anchor", "content", F.array(F.struct("a", (F.col("a") + 1).alias("b"))).alias("ranges"))
+                for cell in range(at // width, (at + windows - 1) // width + 1):
+                    lo, hi = cell * width - at, (cell + 1) * width - at
+                    a, b = max(lo, 0), min(hi, windows)
+                    (g, k) = _kinds(x, [hi - 1, a], [lo + LENGTH, b + LENGTH - 1], [cell, a + at]).tolist()
+                    for c, v in zip(out.values(), (k1, k2, a, *g, *k, n, a + at, x[a : b + LENGTH - 1])):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(v, {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[c.split()[1]]) for v, c in zip(out.values(), _CELL.split(", "))], list(out))
+
+    paths = [shared_dir(rows.sparkSession, x) for x in ("cells", "kinds")]
+    cut = stored(rows.mapInArrow(cells, _CELL), "cells", paths[0])
+    kinds = cut.groupBy("g1", "g2", "k1", "k2").agg(F.sum("copies").alias("copies"), F.min(F.struct("place", "bytes")).alias("one"))
+    kinds = stored(kinds.select("g1", "g2", "k1", "k2", "copies", "one.place", "one.bytes"), "kinds", paths[1])
+    sizes = kinds.groupBy("g1", "g2").agg(F.count("*").alias("n")).where("n > 1")
+    rest = kinds.join(sizes, ["g1", "g2"])
+    found = kinds.where("copies > 1").select("k1", "k2", F.lit(0).alias("a"), (F.length("bytes") - (LENGTH - 1)).alias("b")).unionByName(_merged(rest.where(F.col("n") <= CROWD)))
+    crowded = rest.where(F.col("n") > CROWD)
+    if level + 1 < len(WIDTHS) and not crowded.isEmpty():
+        found = found.unionByName(_divided(crowded, level + 1))
+    owners = cut.select("o1", "o2", "a0", "k1", "k2")
+    out = stored(owners.join(found, ["k1", "k2"]).select(F.col("o1").alias("k1"), F.col("o2").alias("k2"), (F.col("a0") + F.col("a")).alias("a"), (F.col("a0") + F.col("b")).alias("b")), "found")
+    for path in paths:
+        discard(rows, path)
+    return out
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """``id, h, spans array<struct<a, b>>``: byte spans to remove from each document (see _keys); spans may overlap."""
     spark = docs.sparkSession
-    at = [shared_dir(spark, x) for x in ("stretches", "shared", "different", "bytes")]
+    at = [shared_dir(spark, x) for x in ("stretches", "shared", "kinds", "bytes")]
     parts = stored(_all_stretches(docs), "stretches", at[0])
-    groups = parts.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high")).where("n > 1")
-    shared = stored(parts.join(groups.select("anchor", (F.col("low") == F.col("high")).alias("alike")), "anchor"), "shared", at[1])
+    ends = [f("c" + k).alias(f"{name}{k}") for k in "12" for name, f in (("low", F.min), ("high", F.max))]
+    groups = parts.groupBy("anchor").agg(F.sum("times").alias("n"), *ends).where("n > 1").select("anchor", F.expr("low1 = high1 AND low2 = high2").alias("alike"))
+    shared = stored(parts.join(groups, "anchor"), "shared", at[1])
     discard(parts, at[0])
-    whole = F.struct(F.col("start").alias("a"), (F.col("start") + F.col("windows") + LENGTH - 1).alias("b"))
     unlike = shared.where("NOT alike")
-    different = unlike.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("id", "h", "start", "windows", "anchor_at")).alias("at"))
-    different = stored(different, "different", at[2])
-    crowds = different.groupBy("anchor").agg(F.count("*").alias("kinds")).select("anchor", (F.col("kinds") > CROWD).alias("crowded"))
-    bytes_of = stored(_fetched(different.join(crowds, "anchor"), docs), "bytes", at[3])
-    gathered = bytes_of.where("NOT crowded").select("anchor", "content", "bytes").repartition("anchor").sortWithinPartitions("anchor", "content")
-    found = gathered.mapInArrow(_merge, _FOUND).unionByName(_crowded(bytes_of)).select("anchor", "content", F.explode("ranges").alias("r"))
-    copied = different.where("copies > 1").select("anchor", "content", F.struct(F.lit(0).alias("a"), F.col("at.windows").alias("b")).alias("r"))
-    placed = unlike.join(found.unionByName(copied), ["anchor", "content"]).select("id", "h", F.struct((F.col("start") + F.col("r.a")).alias("a"), (F.col("start") + F.col("r.b") + LENGTH - 1).alias("b")).alias("span"))
-    spans = shared.where("alike").select("id", "h", whole.alias("span")).unionByName(placed)
+    kinds = unlike.groupBy("anchor", "c1", "c2").agg(F.sum("times").alias("copies"), F.min(F.struct("id", "h", "start", "windows", "anchor_at")).alias("at"))
+    kinds = stored(kinds, "kinds", at[2])
+    crowds = kinds.groupBy("anchor").agg((F.count("*") > CROWD).alias("crowded"))
+    bytes_of = stored(_fetched(kinds.join(crowds, "anchor"), docs), "bytes", at[3])
+    crowded = bytes_of.where("crowded").dropDuplicates(["k1", "k2"])
+    found = _merged(bytes_of.where("NOT crowded"))
+    if not bytes_of.where("crowded").isEmpty():
+        found = found.unionByName(_divided(crowded))
+    copied = kinds.where("copies > 1").select("c1", "c2", F.lit(0).alias("a"), F.col("at.windows").alias("b"))
+    ranges = found.withColumnsRenamed({"k1": "c1", "k2": "c2"}).unionByName(copied)
+    placed = unlike.where("times = 1").join(ranges, ["c1", "c2"]).select("id", "h", F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b") + LENGTH - 1).alias("b")).alias("span"))
+    whole = F.struct(F.col("start").alias("a"), (F.col("start") + F.col("windows") * F.col("times") + LENGTH - 1).alias("b"))
+    spans = shared.where("alike OR times > 1").select("id", "h", whole.alias("span")).unionByName(placed)
     out = stored(spans.groupBy("id", "h").agg(F.collect_list("span").alias("spans")), "spans")
-    for df, path in ((shared, at[1]), (different, at[2]), (bytes_of, at[3])):
-        discard(df, path)
+    for path in at[1:]:
+        discard(docs, path)
     return out
 
 
