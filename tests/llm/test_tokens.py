@@ -72,7 +72,46 @@ def test_small_automaton_is_merging():
                         out.append(parts[k])
                         k += 1
                 parts = out
-            assert [auto.names[t] for t in auto.encode(word)] == parts
+            assert [auto.names[t] for t in auto.encode(list(word))] == parts
+
+
+def test_automaton_accepts_encodings_only():
+    """Every sequence of two or three tokens is accepted exactly if encoding what it spells gives it back."""
+    merges = [("a", "b"), ("b", "a"), ("ab", "a"), ("a", "a"), ("aa", "b"), ("b", "b"), ("aba", "ba"), ("a", "ab")]
+    auto = bpe_automaton.TokenAutomaton(list("ab"), merges)
+    n = len(auto.names)
+    sequences = [(x, y) for x in range(n) for y in range(n)] + [(x, y, z) for x in range(n) for y in range(n) for z in range(n)]
+    for path in sequences:
+        accepted = all(auto.has_arc(x, y) for x, y in zip(path, path[1:])) and all(auto.encode(list(auto.names[t])) == [t] for t in path)
+        assert accepted == (auto.encode(list("".join(auto.names[t] for t in path))) == list(path)), path
+
+
+def test_long_words_take_linear_time():
+    import time
+
+    codec = bpe_automaton.WordCodec(WORD)
+    rng = random.Random(2)
+    words = ["a" * 1_000_000, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))]
+    began = time.time()
+    found = [codec.run(w) for w in words]
+    assert time.time() - began < 60  # some seconds; more than linear would be minutes
+    lib = library(WORD)
+    assert np.frombuffer(codec.run(words[1][:20_000])[0], np.uint32).tolist() == lib.encode(words[1][:20_000], add_special_tokens=False).ids
+    assert all(t.replace(" ", "").removesuffix("</w>") == w for (_, t), w in zip(found, words))
+
+
+@pytest.mark.parametrize("pattern", ["{}", "a{}b", "1{}1", "e{}\u0301", "{}\u0323\u0301x", "\u1100{}\u1161"])
+def test_all_code_points(pattern):
+    """Every code point of the first two planes and every 64th of the others, in words of a thousand a text, as the library has it (both vocabularies)."""
+    points = [chr(c) for c in (*range(0x20000), *range(0x20000, 0x110000, 64)) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(pattern.format(c) for c in points[k : k + 1000]) for k in range(0, len(points), 1000)]
+    for path, spaced in ((WORD, False), (BYTE, True)):
+        lib, mine = library(path), PieceEncoder(path, spaced)
+        want = [np.array(e.ids, np.uint32).tobytes() for e in lib.encode_batch(texts, add_special_tokens=False)]
+        assert [hex(1000 * k) for k, (a, b) in enumerate(zip(mine.encode(texts), want)) if a != b] == []
+        if not spaced:
+            codec = bpe_automaton.WordCodec(path)
+            assert [hex(1000 * k) for k, (t, b) in enumerate(zip(texts, want)) if codec.run(t)[0] != b] == []
 
 
 def test_round_trip_query(spark, odd, none):

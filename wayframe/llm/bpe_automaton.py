@@ -2,35 +2,41 @@
 
 The automaton reads tokens. It accepts a token sequence exactly if that is the encoding of the
 word it spells. It starts as one state with an arc for each base symbol, and each merge (u, v)
--> w, in order of priority, adds a gadget: the state t that arcs on u lead to is copied without
-its arc on v, arcs on u then lead to the copy, and wherever u had an arc, w gets one, leading
-where v led. All arcs on one token lead to one state, so the automaton is deterministic.
-
-A state differs from the one it was copied from by one dropped token, so states are stored as
-such differences: the copies made for arcs on u are the list of tokens dropped for u, each with
-the number of its merge, after those of the state that u led to when u was made. A token made
-by merge m has an arc exactly where its left part had one after merge m, and was not dropped
-since. The transition table is filled from these rules as words need it.
+-> w, in order of priority, adds a gadget: the state that arcs on u lead to is copied without
+its arc on v, arcs on u then lead to the copy, and every state with an arc on u gets an arc on
+w, which leads where v led. All arcs on one token lead to one state, so the automaton is
+deterministic.
+
+The transition table has a row for each state. Arcs are numbered so that what a state lacks is
+a few ranges: a state without the arc on v never gets arcs on tokens that later merges make
+with v as their left part, and numbers go depth first through the tree of left parts, later
+tokens first, so these follow v. A row is the sorted bounds of its ranges.
+
+Words come as symbols, not tokens. The arcs' labels are spelled out in a second table, a trie of
+all tokens with failure links, which one step a symbol follows; it gives the tokens that end at
+a place. Each beginning of a word has a single encoding, so at most one of them continues the
+one recorded at its own beginning: one pass records the last token of every beginning, and the
+path is read back from the end. The time is linear in the word.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import math
-import unicodedata
 from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from .common import steps
 
-#: Words that a worker keeps at most; beyond it the store starts anew.
-MOST_WORDS = 600_000
+#: Words that a worker keeps at most; beyond it the store starts anew. Longer words than LONGEST_WORD aren't kept.
+MOST_WORDS, LONGEST_WORD = 600_000, 64
 _SEPARATORS = regex.compile("[\x1c-\x1f]")
 
 
@@ -45,85 +51,116 @@ class TokenAutomaton:
     """The automaton of a merge list. base: symbols that no merge makes; merges: (left, right) by priority."""
 
     def __init__(self, base: list[str], merges: list[tuple[str, str]]):
-        self.symbols = {s: k for k, s in enumerate(base)}
-        self.left, self.made = [-1] * len(base), [0] * len(base)
-        self.copies: list[list[tuple[int, float]]] = [[(k, math.inf)] for k in range(len(base))]  # lists of drops that hold after a token, each up to a merge
-        self.drops: dict[tuple[int, int], int] = {}
+        tokens, spelled = {s: k for k, s in enumerate(base)}, [(s,) for s in base]
+        made, after = [0] * len(base), [[] for _ in base]  # the merge that makes a token; tokens made with it as the left part
+        gadgets = []
         for k, (a, b) in enumerate(merges, 1):
-            u, v = self.symbols.get(a), self.symbols.get(b)
-            if u is None or v is None or a + b in self.symbols or not self.has_arc(u, v):
+            u, v = tokens.get(a), tokens.get(b)
+            if u is None or v is None or a + b in tokens:
                 continue  # such a merge never applies
-            self.drops[u, v] = k
-            w = self.symbols[a + b] = len(self.left)
-            self.left.append(u)
-            self.made.append(k)
-            self.copies.append([(w, math.inf), *((c, min(upto, k - 1)) for c, upto in self.copies[v])])
-        self.names = list(self.symbols)
-        self.reach: dict[str, int] = {}  # by a token's first two symbols: the length of the longest such token
-        for name in self.names:
-            self.reach[name[:2]] = max(self.reach.get(name[:2], 0), len(name))
-        self.table: dict[tuple[int, int], bool] = {}
+            w = tokens[a + b] = len(spelled)
+            spelled.append(spelled[u] + spelled[v])
+            made.append(k), after.append([]), after[u].append(w)
+            gadgets.append((k, u, v, w))
+        self.names = list(tokens)
+        self.number, past = self._numbered(len(base), after)
+
+        self.state, rows = [0] * len(spelled), [[]]
+        lost = [False] * len(spelled)
+        for k, u, v, w in gadgets:
+            row, at = rows[self.state[u]], self.number[v]
+            if lost[u] or lost[v] or bisect_right(row, at) & 1:
+                lost[w] = True  # u is never followed by v at this point
+                continue
+            earlier = bisect_left(after[v], k, key=made.__getitem__)
+            upto = self.number[after[v][earlier - 1]] if earlier else past[v]
+            place = bisect_right(row, at)
+            self.state[w] = self.state[v]
+            self.state[u] = len(rows)
+            rows.append([*row[:place], at, upto, *row[place:]])
+        used = {s: k for k, s in enumerate(sorted(set(self.state)))}  # a copy that was copied again is no longer led to
+        self.rows = [array("i", rows[s]) for s in used]
+        self.state = [used[s] for s in self.state]
+        self.size = [len(x) for x in spelled]
+        self._spell([(t, x) for t, x in enumerate(spelled) if not lost[t]])
+
+    @staticmethod
+    def _numbered(base: int, after: list[list[int]]) -> tuple[list[int], list[int]]:
+        """Each token's place in the tree of left parts, later tokens first, and the first place past all that begin with it."""
+        number, past, n = [0] * len(after), [0] * len(after), 0
+        for root in range(base):
+            stack = [root]
+            while stack:
+                t = stack.pop()
+                if t < 0:
+                    past[~t] = n
+                    continue
+                number[t] = n
+                n += 1
+                stack += [~t, *after[t]]
+        return number, past
+
+    def _spell(self, tokens: list[tuple[int, tuple[str, ...]]]) -> None:
+        """The trie: next nodes by symbol, where to go on failure, and the tokens that end at a node (with their number and length), longest first."""
+        self.next: list[dict[str, int]] = [{}]
+        own: list[tuple] = [()]
+        for t, symbols in tokens:
+            node = 0
+            for x in symbols:
+                to = self.next[node].get(x)
+                if to is None:
+                    to = self.next[node][x] = len(self.next)
+                    self.next.append({}), own.append(())
+                node = to
+            own[node] = ((t, self.number[t], len(symbols)),)
+        self.fail, self.ends = [0] * len(own), own
+        queue = list(self.next[0].values())
+        for node in queue:
+            for x, to in self.next[node].items():
+                self.fail[to] = self.step(self.fail[node], x)
+                queue.append(to)
+            self.ends[node] = own[node] + self.ends[self.fail[node]]
+
+    def step(self, node: int, symbol: str) -> int:
+        """The next node of the trie."""
+        while (to := self.next[node].get(symbol)) is None and node:
+            node = self.fail[node]
+        return to or 0
 
     def has_arc(self, last: int, token: int) -> bool:
         """Whether the state that arcs on last lead to has an arc on token."""
-        upto, copies, drops = math.inf, self.copies[last], self.drops
-        while True:
-            for c, end in copies:
-                k = drops.get((c, token))
-                if k is not None and k <= end and k <= upto:
-                    return False
-            if not (made := self.made[token]):
-                return True
-            upto, token = min(upto, made), self.left[token]
-
-    def encode(self, symbols: str, end: str = "") -> list[int]:
-        """The one accepted path that spells the word; end marks the word's last symbol.
-
-        Longest arcs are tried first; a place that was left in vain isn't tried again, as each
-        beginning of the word has a single encoding and so a place is reached in one state.
-        """
-        n, known, table, reach = len(symbols), self.symbols, self.table, self.reach
-        path: list[int] = []
-        taken: list[int] = []  # places where arcs began
-        at, to, last, dead = 0, n, -1, ()
-        while at < n:
-            most = at + reach.get(symbols[at : at + 2] if at + 1 < n else symbols[at], 1)
-            token = known.get(symbols[at:] + end) if to == n else None
-            if token is None or not (last < 0 or self._arc(table, last, token)):
-                to = min(to - (to == n), most)
-                while to > at:
-                    token = known.get(symbols[at:to])
-                    if token is not None and (last < 0 or self._arc(table, last, token)) and to not in dead:
-                        break
-                    to -= 1
-            if to > at:
-                taken.append(at)
-                path.append(token)
-                at, to, last = to, n, token
+        return not bisect_right(self.rows[self.state[last]], self.number[token]) & 1
+
+    def encode(self, symbols: list[str]) -> list[int]:
+        """The one accepted path that spells the word."""
+        following, fail, ends, rows, state = self.next, self.fail, self.ends, self.rows, self.state
+        last, node = [-1], 0  # the last token of each beginning
+        for place, x in enumerate(symbols, 1):
+            while (to := following[node].get(x)) is None and node:
+                node = fail[node]
+            node = to or 0
+            for token, number, size in ends[node]:
+                before = last[place - size]
+                if before < 0 or not bisect_right(rows[state[before]], number) & 1:
+                    last.append(token)
+                    break
             else:
-                if not taken:
-                    raise ValueError("a symbol isn't in the vocabulary")
-                dead = {*dead, at}
-                to, at = at - 1, taken.pop()
-                path.pop()
-                last = path[-1] if path else -1
+                raise ValueError("a symbol isn't in the vocabulary")
+        path, at = [], len(symbols)
+        while at:
+            path.append(last[at])
+            at -= self.size[last[at]]
+        path.reverse()
         return path
 
-    def _arc(self, table: dict[tuple[int, int], bool], last: int, token: int) -> bool:
-        found = table.get((last, token))
-        if found is None:
-            if len(table) > 2 * MOST_WORDS:
-                table.clear()
-            found = table[last, token] = self.has_arc(last, token)
-        return found
-
 
 class WordCodec:
-    """Encodes and decodes as the tokenizers library does with a word-end BPE file (NFC, lower case, white space dropped, byte symbols)."""
+    """Encodes and decodes as the tokenizers library does with a word-end BPE file (white space dropped, byte symbols). Ids come from the automaton, not from the library."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.library = Tokenizer.from_file(path)  # its normaliser and splitter only
         model, self.end = spec["model"], spec["model"]["end_of_word_suffix"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         plain = byte_symbols()
@@ -142,18 +179,21 @@ class WordCodec:
         return " ".join([self.labels[i] for i in ids])
 
     def word(self, word: str) -> tuple[bytes, str]:
+        """A word of byte symbols."""
         found = self.known_words.get(word)
         if found is None:
-            path = self.automaton.encode(word if word.isascii() and word.isprintable() else "".join(map(self.byte.__getitem__, word.encode())), self.end)
-            ids = [self.ids[t] for t in path]
+            ids = [self.ids[t] for t in self.automaton.encode([*word[:-1], word[-1] + self.end])]
             found = array("I", ids).tobytes(), self.decode(ids)
-            if len(word) <= 64:
+            if len(word) <= LONGEST_WORD:
                 self.known_words[word] = found
         return found
 
     def _ordinary(self, text: str) -> list[tuple[bytes, str]]:
-        lower = text.lower() if text.isascii() else "".join([c.lower() for c in unicodedata.normalize("NFC", text)])
-        return [self.word(w) for w in self.words.findall(lower)]
+        """Normalised and split as the file says: by the library where Unicode's tables matter, which ASCII doesn't need."""
+        if text.isascii():
+            words = self.words.findall(text.lower())
+            return [self.word(w if w.isprintable() else w.translate(self.byte)) for w in words]
+        return [self.word(w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
 
     def piece(self, piece: str) -> tuple[bytes, str]:
         """A text, or a part of it between white space."""
@@ -162,7 +202,7 @@ class WordCodec:
         else:
             parts = [x for part in self.at_special.split(piece) for x in ([(array("I", [self.special[part]]).tobytes(), part)] if part in self.special else self._ordinary(part))]
         found = parts[0] if len(parts) == 1 else (b"".join([x for x, _ in parts]), " ".join([t for _, t in parts]))
-        if len(piece) <= 64:
+        if len(piece) <= LONGEST_WORD:
             self.known[piece] = found
         return found
 

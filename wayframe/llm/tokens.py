@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
 from array import array
 from functools import lru_cache
 
@@ -70,23 +69,24 @@ class PieceEncoder:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _word(self, word: str) -> bytes:
+        """A word of byte symbols, by the library's model."""
         found = self.known_words.get(word)
         if found is None:
-            found = array("I", [t.id for t in self.model.tokenize("".join(map(self.byte.__getitem__, word.encode())))]).tobytes()
+            found = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
             if len(word) <= LONGEST_PIECE:
                 self.known_words[word] = found
         return found
 
     def _piece(self, piece: str) -> bytes:
-        """Normalised and split as the file says, then encoded by the library's model."""
+        """Normalised and split as the file says: by the library where Unicode's tables matter, which ASCII doesn't need."""
         if any(x in piece for x in self.special):
             found = self._library(piece)
+        elif piece.isascii():
+            words = self.words.findall(piece if self.spaced else piece.lower())
+            found = b"".join([self._word(w.translate(self.byte)) for w in words])
         else:
-            if not self.spaced:
-                piece_text = piece.lower() if piece.isascii() else "".join([c.lower() for c in unicodedata.normalize("NFC", piece)])
-            else:
-                piece_text = piece
-            found = b"".join([self._word(w) for w in self.words.findall(piece_text)])
+            text = piece if self.spaced else self.library.normalizer.normalize_str(piece)
+            found = b"".join([self._word(w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(text)])
         if len(piece) <= LONGEST_PIECE:
             self.known[piece] = found
         return found
