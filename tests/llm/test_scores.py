@@ -149,7 +149,7 @@ def test_fingerprints(spark, odd, none):
     docs = spark.createDataFrame([(1, "One. Two.\nThree"), (2, "Three\nTwo.\nOne."), (3, "Three\nTwo.\nOne.\nOne."), (4, "")], "doc_id long, text string")
     f = {r.doc_id: r.fingerprint for r in multiset_hash.fingerprints(docs).collect()}
     assert f[1] == f[2] != f[3] and set(f[4]) == {"0", "-"}
-    parts = {r.text: r.full for r in multiset_hash._vector(spark.createDataFrame([("One.",), ("Three\nTwo.\nOne.",), ("Three\nTwo.\nOne.\nOne.",)], "text string"), "text", "v").select("text", "v.full").collect()}
+    parts = {r.text: r.full for r in multiset_hash.with_vector(spark.createDataFrame([("One.",), ("Three\nTwo.\nOne.",), ("Three\nTwo.\nOne.\nOne.",)], "text string"), "text", "v").select("text", "v.full").collect()}
     added = [(a + b) % 2**32 for a, b in zip(parts["Three\nTwo.\nOne."], parts["One."])]
     assert added == parts["Three\nTwo.\nOne.\nOne."]  # insertion is addition
     rng = random.Random(1)

@@ -2,10 +2,11 @@
 
 Each paragraph is hashed to a wide vector; a document's fingerprint is the sum of its
 paragraphs' vectors, each lane modulo 2**32. So order doesn't matter, and adding or taking a
-paragraph is adding or taking its vector. A vector has LANES lanes in which every paragraph
-counts in full (equality), and SKETCH lanes, read as signed, in which it counts as +1 or -1 in
-a single lane: their inner products estimate how many paragraphs two documents share
-(likeness). No text has enough paragraphs to wrap a signed lane.
+paragraph is adding or taking its vector. A vector has LANES lanes, the eight words of the
+paragraph's SHA-256, in which every paragraph counts in full (equality), and SKETCH lanes, read
+as signed, in which it counts as +1 or -1 in a single lane that its MD5 names: their inner
+products estimate how many paragraphs two documents share (likeness). No text has enough
+paragraphs to wrap a signed lane.
 
 A paragraph is a line; a line of several sentences counts as one for each. Only DataFrame
 functions.
@@ -20,28 +21,62 @@ from .common import stored
 
 LANES, SKETCH = 8, 128
 _LOW = (1 << 32) - 1
-_NO_ID = -(1 << 63)
+#: A document's place in the order: null ids last, and its text's hash after its id.
+_KEY = ("none", "id", "h")
 
 
 def paragraphs(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"\n+|(?<=[.!?]) "), lambda x: x != "")
 
 
-def _vector(rows: DataFrame, text: str, name: str) -> DataFrame:
+def _number(digits: Column, at: Column | int, n: int) -> Column:
+    """n hexadecimal digits from a place (from 0) as a long."""
+    return F.conv(F.substr(digits, F.lit(at) + 1 if isinstance(at, int) else at + 1, F.lit(n)), 16, 10).cast("long")
+
+
+def with_vector(rows: DataFrame, text: str, name: str) -> DataFrame:
     """Adds the column name: ``struct<full array<long>, sketch array<int>>`` of the column text."""
-    units = f"_{name}_u"
-    hashes = [f"_{name}_h{k}" for k in range(LANES // 2)]
+    units, wide, codes = (f"_{name}_{x}" for x in "uwc")
     rows = rows.withColumn(units, paragraphs(F.col(text)))
-    seeded = lambda k: lambda u: F.xxhash64(u, F.lit(k))  # noqa: E731  (a second parameter would be the place)
-    rows = rows.withColumns({h: F.transform(units, seeded(k)) for k, h in enumerate(hashes)})
-    add = lambda h, part: F.aggregate(h, F.lit(0).cast("long"), lambda s, x: (s + part(x)).bitwiseAND(F.lit(_LOW)))
-    full = F.array(*[add(h, part) for h in hashes for part in (lambda x: x.bitwiseAND(F.lit(_LOW)), lambda x: F.shiftrightunsigned(x, 32))])
-    rows = rows.withColumns({f"_{name}_f": full, f"_{name}_c": F.transform(hashes[0], lambda x: F.shiftrightunsigned(x, 56).cast("int"))})  # 1 bit of sign, 7 of lane
+    rows = rows.withColumns({wide: F.transform(units, lambda u: F.sha2(u, 256)), codes: F.transform(units, lambda u: _number(F.md5(u), 0, 2).cast("int"))})  # 1 bit of sign, 7 of lane
+    lane = lambda k: F.aggregate(wide, F.lit(0).cast("long"), lambda s, x: (s + _number(x, 8 * k, 8)).bitwiseAND(F.lit(_LOW)))
+    full = F.array(*[lane(k) for k in range(LANES)])
     high = F.sequence(F.lit(0), F.lit(SKETCH // 16 - 1))
     low = F.sequence(F.lit(0), F.lit(15))
     inner = lambda sub: F.transform(low, lambda j: F.aggregate(sub, F.lit(0), lambda s, c: s + F.when(c.bitwiseAND(F.lit(15)) == j, F.lit(1) - F.shiftright(c, 7) * 2).otherwise(0)))
-    sketch = F.flatten(F.transform(high, lambda i: F.transform(F.array(F.filter(f"_{name}_c", lambda c: F.shiftright(c, 4).bitwiseAND(F.lit(7)) == i)), inner)[0]))
-    return rows.withColumn(name, F.struct(F.col(f"_{name}_f").alias("full"), sketch.alias("sketch"))).drop(units, *hashes, f"_{name}_f", f"_{name}_c")
+    sketch = F.flatten(F.transform(high, lambda i: F.transform(F.array(F.filter(codes, lambda c: F.shiftright(c, 4).bitwiseAND(F.lit(7)) == i)), inner)[0]))
+    return rows.withColumn(name, F.struct(full.alias("full"), sketch.alias("sketch"))).drop(units, wide, codes)
+
+
+def parsed(fingerprint: Column) -> Column:
+    """The vector that a fingerprint's text stands for."""
+    full, sketch = (F.element_at(F.split(fingerprint, "-"), k) for k in (1, 2))
+    signed = lambda x: F.when(x > _LOW >> 1, x - (_LOW + 1)).otherwise(x).cast("int")
+    each = lambda digits, n: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: _number(digits, k * 8, 8))
+    return F.struct(each(full, LANES).alias("full"), F.transform(each(sketch, SKETCH), signed).alias("sketch"))
+
+
+def _moved(a: str, b: str, sign: int) -> Column:
+    """Vector a with vector b added (sign 1) or taken away (-1), lane by lane modulo 2**32."""
+    full = F.zip_with(f"{a}.full", f"{b}.full", lambda x, y: (x + sign * y).bitwiseAND(F.lit(_LOW)))
+    half = 1 << 31
+    sketch = F.zip_with(f"{a}.sketch", f"{b}.sketch", lambda x, y: ((x.cast("long") + sign * y + half).bitwiseAND(F.lit(_LOW)) - half).cast("int"))
+    return F.struct(full.alias("full"), sketch.alias("sketch"))
+
+
+def _changed(rows: DataFrame, text: str, fingerprint: str, sign: int) -> DataFrame:
+    made = with_vector(rows.withColumn("_fp_old", parsed(F.col(fingerprint))), text, "_fp_by").withColumn("_fp_new", _moved("_fp_old", "_fp_by", sign))
+    return made.withColumn(fingerprint, F.when(F.col(fingerprint).isNotNull(), fingerprint_text("_fp_new"))).select(rows.columns)
+
+
+def insert(rows: DataFrame, text: str, fingerprint: str = "fingerprint") -> DataFrame:
+    """rows with the paragraphs of the column text added to the fingerprint, without the document's other text. A null text has none; a null fingerprint stays null."""
+    return _changed(rows, text, fingerprint, 1)
+
+
+def delete(rows: DataFrame, text: str, fingerprint: str = "fingerprint") -> DataFrame:
+    """rows with the paragraphs of the column text taken from the fingerprint; the opposite of insert."""
+    return _changed(rows, text, fingerprint, -1)
 
 
 def fingerprint_text(v: str) -> Column:
@@ -59,26 +94,31 @@ def likeness(a: str, b: str) -> Column:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id, fingerprint`` of ``docs(doc_id, text, ...)``; a null text is an empty one, the sum of no paragraphs."""
-    return _vector(docs.select("doc_id", "text"), "text", "fp").select("doc_id", fingerprint_text("fp").alias("fingerprint"))
+    return with_vector(docs.select("doc_id", "text"), "text", "fp").select("doc_id", fingerprint_text("fp").alias("fingerprint"))
+
+
+def _key() -> list[Column]:
+    return [F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("h")]
 
 
 def successors(docs: DataFrame) -> DataFrame:
-    """``id, h, n, next_id, next_h`` for each different (doc_id, text): the next in descending doc_id, after the last the first.
+    """``none, id, h, n, next_none, next_id, next_h`` for each different (doc_id, text): the next in descending doc_id, after the last the first.
 
-    id: doc_id, or the least long for null; h: the text's hash, by which equal ids are ordered.
-    Only ids, hashes and lengths are sorted: by ranges, then within each range; the ends of
-    ranges are joined over a table of one row a range.
+    none: whether doc_id is null (id is then 0); h: the text's hash, by which equal ids are
+    ordered. Only ids, hashes and lengths are sorted: by ranges, then within each range; the
+    ends of ranges are joined over a table of one row a range.
     """
-    slim = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("h"), F.char_length(F.coalesce("text", F.lit(""))).alias("n")).distinct()
+    slim = docs.select(*_key(), F.char_length(F.coalesce("text", F.lit(""))).alias("n")).distinct()
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = stored(slim.repartitionByRange(parts, F.col("id").desc(), F.col("h").desc()).withColumn("part", F.spark_partition_id()), "order")
-    inside = Window.partitionBy("part").orderBy(F.col("id").desc(), F.col("h").desc())
-    ahead = ranged.withColumn("ahead", F.lead(F.struct("id", "h")).over(inside))
-    heads = ranged.groupBy("part").agg(F.max(F.struct("id", "h")).alias("head"))
+    order = [F.col("none").asc(), F.col("id").desc(), F.col("h").desc()]
+    ranged = stored(slim.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "order")
+    inside = Window.partitionBy("part").orderBy(*order)
+    ahead = ranged.withColumns({"ahead": F.lead(F.struct(*_KEY)).over(inside), "place": F.row_number().over(inside)})
+    heads = ahead.where("place = 1").select("part", F.struct(*_KEY).alias("head"))
     over = Window.orderBy("part")  # a row for each range
     heads = heads.select("part", F.coalesce(F.lead("head").over(over), F.first("head").over(over)).alias("then"))
     found = ahead.join(F.broadcast(heads), "part").withColumn("to", F.coalesce("ahead", "then"))  # a row for each range
-    return found.select("id", "h", "n", F.col("to.id").alias("next_id"), F.col("to.h").alias("next_h"))
+    return found.select(*_KEY, "n", *[F.col(f"to.{k}").alias(f"next_{k}") for k in _KEY])
 
 
 def edited_likeness(docs: DataFrame) -> DataFrame:
@@ -86,18 +126,18 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
 
     The edited text has its last third (whole code points, rounded down) replaced by as many
     from the beginning of the next document in descending doc_id. Equal doc_ids are ordered by
-    a hash of their texts and equal rows share a successor; null ids come last (the least long
-    counts as null). A null text is an empty one. A table of one document is its own successor. Other columns are unused; an
+    a hash of their texts and equal rows share a successor; null ids come last. A null text is
+    an empty one. A table of one document is its own successor. Other columns are unused; an
     empty table gives no rows.
     """
     order = stored(successors(docs), "successors")
     # Both joins read the same columns of docs by the same keys, so the texts are dealt out once.
-    keyed = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("h"), "text")
-    wanted = order.select(F.col("next_id").alias("id"), F.col("next_h").alias("h"), F.col("id").alias("for_id"), F.col("h").alias("for_h"), F.floor(F.col("n") / 3).cast("int").alias("m"))
-    given = _vector(keyed.join(wanted, ["id", "h"]), "text", "next")
-    given = given.groupBy(F.col("for_id").alias("id"), F.col("for_h").alias("h")).agg(F.first(F.struct("next", F.expr("substring(coalesce(text, ''), 1, m)").alias("begin"), "m")).alias("given"))
+    keyed = docs.select(*_key(), "text")
+    wanted = order.select(*[F.col(f"next_{k}").alias(k) for k in _KEY], F.struct(*_KEY).alias("by"), F.floor(F.col("n") / 3).cast("int").alias("m"))
+    given = with_vector(keyed.join(wanted, list(_KEY)), "text", "next")
+    given = given.groupBy(*[F.col(f"by.{k}").alias(k) for k in _KEY]).agg(F.first(F.struct("next", F.expr("substring(coalesce(text, ''), 1, m)").alias("begin"), "m")).alias("given"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = keyed.join(given, ["id", "h"]).select(F.when(F.col("id") != _NO_ID, F.col("id")).alias("doc_id"), text.alias("text"), F.char_length(text).alias("n"), F.col("given.next").alias("next"), F.col("given.begin").alias("begin"), F.col("given.m").alias("m"))
+    rows = keyed.join(given, list(_KEY)).select(F.when(~F.col("none"), F.col("id")).alias("doc_id"), text.alias("text"), F.char_length(text).alias("n"), F.col("given.next").alias("next"), F.col("given.begin").alias("begin"), F.col("given.m").alias("m"))
     rows = rows.withColumn("edited", F.concat(F.expr("substring(text, 1, n - m)"), "begin"))
-    rows = _vector(_vector(rows, "text", "own"), "edited", "other")
+    rows = with_vector(with_vector(rows, "text", "own"), "edited", "other")
     return rows.select("doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), fingerprint_text("own").alias("fingerprint"), fingerprint_text("other").alias("edited_fingerprint"), likeness("own", "other").alias("near_edited"), likeness("own", "next").alias("near_next"))
