@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe_automaton, lsh_forest, multiset_hash, packing, quality_fm, quality_rules, secrets, suffix_dedup, token_files, url_trees
 from .common import table
+from .oracle import ORACLE_SQL  # noqa: F401
 
 #: Ids of the word-level vocabulary, special tokens included; the id that ends a document.
 WORD_VOCABULARY, END_ID = 49_408, 1
@@ -61,4 +62,3 @@ def op10_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_factorisation_machine, op3_url_trees, op4_lsh_forest, op5_pow2_packing, op6_ngram_ratio, op7_bwt_dedup, op8_secret_novelty, op9_bpe_automaton, op10_multiset_hash)}
-ORACLE_SQL: dict[str, str] = {}
