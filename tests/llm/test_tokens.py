@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -141,15 +142,23 @@ def test_random_access(tmp_path):
         w = token_files.Writer(f, 17)
         w.add([1, None, 3], [ids[:2000], ids[2000:2000], ids[2000:]])
         w.close()
-    r = token_files.Reader((tmp_path / "f").read_bytes())
-    assert r.counts.tolist() == [2000, 0, 5000] and r.nulls.tolist() == [False, True, False]
+    r = token_files.Reader(pa.memory_map(str(tmp_path / "f")))
+    doc_ids, nulls, starts = r.documents(0, 3)
+    assert doc_ids.tolist() == [1, 0, 3] and starts.tolist() == [0, 2000, 2000, 7000] and nulls.tolist() == [False, True, False]
+    assert [x.tolist() for x in r.documents(1, 3)] == [[0, 3], [True, False], [2000, 2000, 7000]]
+    assert r.checksums(starts) == [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in ((0, 2000), (2000, 2000), (2000, 7000))]
     for a, b in ((0, 7000), (1023, 1025), (1024, 2048), (6999, 7000), (5, 5)):
         assert (r.ids(a, b) == ids[a:b]).all()
 
 
-def test_token_files(spark, odd, none):
+@pytest.mark.parametrize("file_bytes,read_docs,read_ids", [(token_files.FILE_BYTES, token_files.READ_DOCS, token_files.READ_IDS), (1, 2, 1000)])
+def test_token_files(spark, odd, none, monkeypatch, file_bytes, read_docs, read_ids):
+    monkeypatch.setattr(token_files, "READ_DOCS", read_docs)
+    monkeypatch.setattr(token_files, "READ_IDS", read_ids)
+    monkeypatch.setattr(token_files, "steps", lambda batches: (b.slice(k, 1) for b in batches for k in range(b.num_rows)))
     lib, path = library(WORD), shared_dir(spark, "test-tokens")
-    token_files.write_token_files(odd, path, WORD, 49_408, 1)
+    files = token_files.write_token_files(odd, path, WORD, 49_408, 1, file_bytes=file_bytes)
+    assert file_bytes > 1 or files.count() == 9  # a file for each step
     rows = token_files.read_token_files(spark, path).orderBy("start").collect()
     assert [r.doc_id for r in rows] == [None, 1, 1, 2, 3, 5, 5, 6, 7]
     start = 0

@@ -1,13 +1,14 @@
 """Token ids in bit-packed files with random access, in ascending document order.
 
-A file holds one run of documents. Ids take the fewest bits that hold the vocabulary, in
-blocks of BLOCK ids, each block starting on a byte; block b starts at byte HEADER + b *
-block_bytes, so any id range is read by a seek and unpacked by numpy. After the blocks come
-the index (per document: doc_id, null flag, number of ids) and a footer with its place.
+A file holds one run of documents; a task begins another once its file has FILE_BYTES. Ids take
+the fewest bits that hold the vocabulary, in blocks of BLOCK ids, each block starting on a byte;
+block b starts at byte HEADER + b * block_bytes, so any id range is read by a seek and unpacked
+by numpy. After the blocks come the index (per document: doc_id, null flag, its first id's
+place) and a footer with its place; a document's entry is read by a seek, too.
 
 Layout, all little-endian: header ``magic 4s, version u16, bits u16, block u32, spare u32``;
-blocks; index arrays ``i8 doc_id[n], u1 null[n], i8 n_ids[n]``; footer ``i8 n_docs, i8 n_ids,
-i8 index_at, magic 4s``.
+blocks; index arrays ``i8 doc_id[n], u1 null[n], i8 start[n + 1]``; footer ``i8 n_docs, i8
+n_ids, i8 index_at, magic 4s``.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 from .common import shared_dir, steps
 from .tokens import encoder
 
-MAGIC, VERSION, BLOCK = b"WFTK", 1, 1024
+MAGIC, VERSION, BLOCK = b"WFTK", 2, 1024
+#: Bytes of blocks after which a task begins another file; documents that one reading step takes, and ids that it holds at once.
+FILE_BYTES, READ_DOCS, READ_IDS = 256 << 20, 4096, 1 << 21
 HEADER, FOOTER = struct.Struct("<4sHHII"), struct.Struct("<qqq4s")
 
 
@@ -76,42 +79,65 @@ class Writer:
 
     def close(self) -> None:
         self.at += self.out.write(pack(self.rest, self.bits)) if len(self.rest) else 0
-        for values, kind in ((self.doc_ids, "<i8"), (self.nulls, "u1"), (self.counts, "<i8")):
+        starts = np.concatenate([[0], np.cumsum(self.counts)])
+        for values, kind in ((self.doc_ids, "<i8"), (self.nulls, "u1"), (starts, "<i8")):
             self.out.write(np.array(values, kind).tobytes())
         self.out.write(FOOTER.pack(len(self.counts), self.n_ids, self.at, MAGIC))
         self.out.close()
 
 
 class Reader:
-    """A file's bytes as documents and ids."""
+    """A file's documents and ids by seeks; only what is asked for is read."""
 
-    def __init__(self, data: bytes):
-        self.data = memoryview(data)
-        magic, version, self.bits, block, _ = HEADER.unpack_from(data)
-        n, self.n_ids, at, end = FOOTER.unpack_from(data, len(data) - FOOTER.size)
+    def __init__(self, source: pa.NativeFile):
+        self.source, size = source, source.size()
+        magic, version, self.bits, block, _ = HEADER.unpack(source.read_at(HEADER.size, 0))
+        self.n_docs, self.n_ids, self.index_at, end = FOOTER.unpack(source.read_at(FOOTER.size, size - FOOTER.size))
         if (magic, version, block, end) != (MAGIC, VERSION, BLOCK, MAGIC):
             raise ValueError("not a token file")
-        self.doc_ids = np.frombuffer(data, "<i8", n, at)
-        self.nulls = np.frombuffer(data, "u1", n, at + 8 * n).astype(bool)
-        self.counts = np.frombuffer(data, "<i8", n, at + 9 * n)
-        self.starts = np.concatenate([[0], np.cumsum(self.counts)]).astype(np.int64)
+
+    def _values(self, at: int, first: int, last: int, kind: str) -> np.ndarray:
+        width = np.dtype(kind).itemsize
+        return np.frombuffer(self.source.read_at((last - first) * width, at + first * width), kind)
+
+    def documents(self, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of documents first .. last - 1: ids, null flags, and where they start (with the end of the last)."""
+        nulls, starts = self.index_at + 8 * self.n_docs, self.index_at + 9 * self.n_docs
+        return self._values(self.index_at, first, last, "<i8"), self._values(nulls, first, last, "u1").astype(bool), self._values(starts, first, last + 1, "<i8")
 
     def ids(self, begin: int, end: int) -> np.ndarray:
-        """Ids begin .. end - 1 of the file; only the blocks that hold them are unpacked."""
+        """Ids begin .. end - 1 of the file; only the blocks that hold them are read and unpacked."""
         if begin >= end:
             return np.empty(0, np.uint32)
-        first = begin // BLOCK
-        at, skip = HEADER.size + first * block_bytes(self.bits), begin - first * BLOCK
-        return unpack(self.data[at:], self.bits, skip + end - begin)[skip:]
-
-
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, vocabulary: int, end_id: int, spaced: bool = False) -> DataFrame:
+        first, last = begin // BLOCK, -(-end // BLOCK)
+        size = min(last * block_bytes(self.bits), self.index_at - HEADER.size) - first * block_bytes(self.bits)
+        data, skip = self.source.read_at(size, HEADER.size + first * block_bytes(self.bits)), begin - first * BLOCK
+        return unpack(data, self.bits, skip + end - begin)[skip:]
+
+    def checksums(self, starts: np.ndarray) -> list[int]:
+        """crc32 of each document's ids as little-endian unsigned 32-bit integers, READ_IDS ids at a time."""
+        out, held, held_at = [], np.empty(0, "<u4"), 0
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            crc = 0
+            while a < b:
+                if a >= held_at + len(held):
+                    held_at = a
+                    held = self.ids(a, min(a + READ_IDS, int(starts[-1]))).astype("<u4")
+                to = min(b, held_at + len(held))
+                crc = zlib.crc32(held[a - held_at : to - held_at].tobytes(), crc)
+                a = to
+            out.append(crc)
+        return out
+
+
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, vocabulary: int, end_id: int, spaced: bool = False, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Encodes ``docs(doc_id, text, ...)`` into token files under path; returns the manifest.
 
     Files are in ascending doc_id order (null first; equal ids by text), file after file by
-    ``part``. The manifest has a row for each file, ``part, file, n_docs, n_ids``, only from
-    tasks that succeeded, so files of lost or repeated tasks are never read. A null text is an
-    empty one and has the end id only. An empty table gives no files. Other columns are unused.
+    ``part, place``. The manifest has a row for each file, ``part, place, file, n_docs, n_ids``,
+    only from tasks that succeeded, so files of lost or repeated tasks are never read. A null
+    text is an empty one and has the end id only. An empty table gives no files. Other columns
+    are unused.
     """
     spark, bits = docs.sparkSession, bits_for(vocabulary)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -119,23 +145,30 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, vocabulary: in
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, writer, name = TaskContext.get().partitionId(), None, ""
+        part, place, writer, name = TaskContext.get().partitionId(), 0, None, ""
         end = np.array([end_id], np.uint32)
         encode = encoder(tokenizer, spaced).encode
+        store, root = fs.FileSystem.from_uri(path)
+
+        def closed() -> pa.RecordBatch:
+            writer.close()
+            return pa.RecordBatch.from_pydict({"part": [part], "place": [place], "file": [name], "n_docs": [len(writer.counts)], "n_ids": [writer.n_ids]})
+
         for batch in steps(batches):
+            if writer is not None and writer.at >= file_bytes:
+                yield closed()
+                writer, place = None, place + 1
             if writer is None:
-                store, root = fs.FileSystem.from_uri(path)
                 store.create_dir(root)
-                name = f"part-{part:06d}-{uuid.uuid4().hex}.tok"
+                name = f"part-{part:06d}-{place:04d}-{uuid.uuid4().hex}.tok"
                 writer = Writer(store.open_output_stream(f"{root}/{name}"), bits)
             writer.add(batch.column(0).to_pylist(), [np.append(np.frombuffer(x, np.uint32), end) for x in encode(batch.column(1).to_pylist())])
         if writer is not None:
-            writer.close()
-            yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "n_docs": [len(writer.counts)], "n_ids": [writer.n_ids]})
+            yield closed()
 
     order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
     rows = docs.select("doc_id", "text").repartitionByRange(n, order[0], F.xxhash64("text")).sortWithinPartitions(order[0], F.xxhash64("text"), order[1])
-    manifest = rows.mapInArrow(write, "part long, file string, n_docs long, n_ids long")
+    manifest = rows.mapInArrow(write, "part long, place long, file string, n_docs long, n_ids long")
     manifest.write.parquet(f"{path}/manifest")
     return spark.read.schema(manifest.schema).parquet(f"{path}/manifest")
 
@@ -144,29 +177,29 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """Documents of token files: ``doc_id, start, n_tokens, ids_crc32``, read from the files.
 
     start counts the ids of all documents before it, over all files. ids_crc32 is of the ids as
-    little-endian unsigned 32-bit integers.
+    little-endian unsigned 32-bit integers. A task reads runs of READ_DOCS documents by seeks,
+    so neither a file nor a long document is held whole.
     """
     files, before, bases = spark.read.parquet(f"{path}/manifest"), 0, []
-    for row in files.orderBy("part").toLocalIterator():  # a row for each file
-        bases.append((row.file, before))
+    for row in files.orderBy("part", "place").toLocalIterator():  # a row for each file
+        bases.append((row.file, row.n_docs, before))
         before += row.n_ids
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(path)
         for batch in batches:
-            for base, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                r = Reader(data)
-                crc = []
-                for k in range(0, len(r.counts), 512):
-                    some, at = r.ids(r.starts[k], r.starts[min(k + 512, len(r.counts))]).astype("<u4"), r.starts[k]
-                    crc += [zlib.crc32(some[a - at : b - at].tobytes()) for a, b in zip(r.starts[k : k + 512], r.starts[k + 1 : k + 513])]
-                yield pa.RecordBatch.from_arrays([pa.array(r.doc_ids, mask=r.nulls), pa.array(r.starts[:-1] + base), pa.array(r.counts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            for name, base, first, last in zip(*(c.to_pylist() for c in batch.columns)):
+                with store.open_input_file(f"{root}/{name}") as source:
+                    r = Reader(source)
+                    ids, nulls, starts = r.documents(first, last)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, mask=nulls), pa.array(starts[:-1] + base), pa.array(np.diff(starts)), pa.array(r.checksums(starts), pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
     if not bases:
         return spark.createDataFrame([], schema)
-    data = spark.read.format("binaryFile").option("pathGlobFilter", "*.tok").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    placed = data.join(F.broadcast(spark.createDataFrame(bases, "file string, base long")), "file")  # a row for each file
-    return placed.select("base", "content").mapInArrow(read, schema)
+    runs = spark.createDataFrame(bases, "file string, n_docs long, base long").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_docs") - 1, F.lit(READ_DOCS).cast("long"))).alias("first"))
+    runs = runs.select("file", "base", "first", F.least(F.col("first") + READ_DOCS, "n_docs").alias("last"))
+    return runs.repartition("file", "first").mapInArrow(read, schema)
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int, spaced: bool = False) -> DataFrame:
