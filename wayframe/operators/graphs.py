@@ -69,10 +69,15 @@ def neighbours(ids: DataFrame, edges: DataFrame) -> DataFrame:
     return ids.join(edges, F.col("id") == F.col("src")).select("id", "dst", "pos")
 
 
-def symmetric(edges: DataFrame) -> DataFrame:
-    """Each edge in both directions, as a bag."""
-    return edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+def symmetric(edges: DataFrame, *others: str) -> DataFrame:
+    """Each edge in both directions, as a bag; others: columns that both keep."""
+    return edges.select("src", "dst", *others).union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *others))
 
 
 def first_neighbour(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.min_by("dst", "pos").alias("dst"))
+
+
+def conversion_stats(raw_edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One row: nodes, edges between nodes, and edges skipped as their target is no node (those of sources that are none aren't looked at)."""
+    return graph_stats(raw_edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi"), nodes).withColumnRenamed("n_removed", "n_skipped")

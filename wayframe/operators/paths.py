@@ -1,30 +1,63 @@
 """Reachability and shortest paths for many pairs of nodes at once.
 
-All sources advance together, one join a round, and only rows that changed go on. Tables between
-rounds are written to the shared folder.
+All sources advance together, HOPS edges a round, and only nodes that the last round reached or
+improved go on; sources whose pairs are answered stop. Tables between rounds are written to the
+shared folder and deleted afterwards. Paths are kept as one pointer a node and put together at
+the end, by doubling.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine
-from ..session import written
+from ..session import deleted, written
 
+#: Edges that a round follows. Rounds that a search takes at most, as a guard.
+HOPS, MOST_ROUNDS = 4, 10_000
 
-def reachability(pairs: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``start, end, reachable`` for ``pairs(start, end)``: an unknown end gives false, a known node reaches itself."""
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
+def _known(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Different pairs whose ends are both nodes."""
     ids = nodes.select("id")
-    known = pairs.join(ids.select(F.col("id").alias("start")), "start", "left_semi").join(ids.select(F.col("id").alias("end")), "end", "left_semi").select("start", "end").distinct()
-    steps = written(edges.select("src", "dst").distinct(), "steps")
-    state = written(known.where("start <> end").select("start", F.col("start").alias("id"), F.lit(True).alias("fresh")).distinct(), "reached")
-    while not state.where("fresh").isEmpty():
-        new = state.where("fresh").join(steps, F.col("id") == F.col("src")).select("start", F.col("dst").alias("id"), F.lit(True).alias("fresh"))
-        # A node that was there before keeps its False.
-        state = written(state.select("start", "id", F.lit(False).alias("fresh")).union(new).groupBy("start", "id").agg(F.min("fresh").alias("fresh")), "reached")
-    hit = state.select("start", F.col("id").alias("end")).union(known.where("start = end")).distinct().withColumn("hit", F.lit(True))
-    return pairs.join(hit, ["start", "end"], "left").select("start", "end", F.coalesce("hit", F.lit(False)).alias("reachable"))
+    return pairs.select("start", "end").distinct().join(ids.select(F.col("id").alias("start")), "start", "left_semi").join(ids.select(F.col("id").alias("end")), "end", "left_semi").select("start", "end")
+
+
+def reachability(pairs: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``start, end, reachable`` for ``pairs(start, end)``: an unknown end gives false, a known node reaches itself. A null end or an empty table of pairs is allowed."""
+    spark, used = pairs.sparkSession, []
+    steps, path, _ = written(edges.where("src <> dst").select("src", "dst").distinct(), "steps")
+    used.append(path)
+    known, path, _ = written(_known(pairs, nodes), "pairs")
+    used.append(path)
+    open_pairs, reached = known.where("start <> end"), []
+    fresh, path, seen = written(open_pairs.select("start", F.col("start").alias("id")).distinct(), "reached", n=F.count(F.lit(1)))
+    used.append(path)
+    reached.append(fresh)
+    while seen["n"]:
+        if len(reached) > MOST_ROUNDS:
+            raise RuntimeError(f"reachability did not settle in {MOST_ROUNDS} rounds")
+        hops = [fresh]
+        for _ in range(HOPS):
+            hops.append(hops[-1].join(steps, F.col("id") == F.col("src")).select("start", F.col("dst").alias("id")).distinct())
+        before = _union(reached)
+        # Sources all of whose ends are reached go no further.
+        waiting = open_pairs.join(before.withColumnRenamed("id", "end"), ["start", "end"], "left_anti").select("start").distinct()
+        new = _union(hops[1:]).distinct().join(before, ["start", "id"], "left_anti").join(waiting, "start", "left_semi")
+        fresh, path, seen = written(new, "reached", n=F.count(F.lit(1)))
+        used.append(path)
+        reached.append(fresh)
+    hit = _union(reached).withColumnRenamed("id", "end").unionByName(known.where("start = end")).join(known, ["start", "end"], "left_semi").distinct().withColumn("hit", F.lit(True))
+    out, _, _ = written(pairs.select("start", "end").join(hit, ["start", "end"], "left").select("start", "end", F.coalesce("hit", F.lit(False)).alias("reachable")), "reachable")
+    deleted(spark, used)
+    return out
 
 
 def geographic(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -40,33 +73,75 @@ def by_length(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src", "dst").agg(F.min(length).alias("w"))
 
 
-def shortest_paths(sources: DataFrame, weighted: DataFrame) -> DataFrame:
-    """``source, id, dist, path`` from each source to all nodes that it reaches; weights aren't negative.
+def shortest_distances(sources: DataFrame, weighted: DataFrame, ends: DataFrame | None = None) -> DataFrame:
+    """``source, id, dist, hops, last`` from each source to the nodes that it reaches; last: the node before, null at the source.
 
-    Of several nodes before a node at equal distance the one nearest to the source is taken, then
-    the least id; a path never visits a node twice. Rounds end when nothing changes.
+    Of equally short paths one with the fewest edges is taken, then the least node before. ends:
+    ``source, id`` pairs of interest; nodes farther from a source than all of these needn't be
+    there. ValueError for a weight that is null, negative or not a number.
     """
-    steps = written(weighted.where("src <> dst").groupBy("src", "dst").agg(F.min("w").alias("w")), "steps")
-    start = sources.select(F.col("id").alias("source")).distinct()
-    best = F.struct(F.lit(0.0).alias("dist"), F.lit(0.0).alias("before"), F.col("source").alias("last"), F.array("source").alias("path"))
-    state = written(start.select("source", F.col("source").alias("id"), best.alias("best"), F.lit(True).alias("changed")), "paths")
-    while not state.where("changed").isEmpty():
-        onward = state.where("changed").join(steps, F.col("id") == F.col("src")).where("NOT array_contains(best.path, dst)")
-        offer = F.struct((F.col("best.dist") + F.col("w")).alias("dist"), F.col("best.dist").alias("before"), F.col("id").alias("last"), F.concat("best.path", F.array("dst")).alias("path"))
-        offers = onward.groupBy("source", F.col("dst").alias("id")).agg(F.min(offer).alias("offer"))
-        both = state.select("source", "id", "best").join(offers, ["source", "id"], "full")
-        # A new path through the same last node replaces the old one even where it isn't less.
-        better = F.col("offer").isNotNull() & (F.col("best").isNull() | (F.col("offer") < F.col("best")) | ((F.col("offer.last") == F.col("best.last")) & (F.col("offer") != F.col("best")) & (F.col("source") != F.col("id"))))
-        state = written(both.select("source", "id", F.when(better, F.col("offer")).otherwise(F.col("best")).alias("best"), F.coalesce(better, F.lit(False)).alias("changed")), "paths")
-    return state.select("source", "id", F.col("best.dist").alias("dist"), F.col("best.path").alias("path"))
+    spark, used = sources.sparkSession, []
+    bad = F.col("w").isNull() | (F.col("w") < 0) | F.isnan("w")
+    steps, path, seen = written(weighted.where("src <> dst").groupBy("src", "dst").agg(F.min(F.col("w").cast("double")).alias("w"), F.max(bad).alias("bad")), "steps", bad=F.count_if("bad"))
+    used.append(path)
+    if seen["bad"]:
+        raise ValueError("a weight is missing, negative or not a number")
+    steps = steps.drop("bad")
+    begin = sources.select(F.col("id").alias("source")).distinct()
+    none = F.lit(None).cast(weighted.schema["dst"].dataType)
+    best = F.struct(F.lit(0.0).alias("dist"), F.lit(0).alias("hops"), none.alias("last"))
+    # Weights were least of parallel edges, so a state is a row for each pair, rewritten where it got better.
+    state, path, seen = written(begin.select("source", F.col("source").alias("id"), best.alias("best"), F.lit(True).alias("changed")), "paths", n=F.count(F.lit(1)))
+    for round_ in range(MOST_ROUNDS + 1):
+        if not seen["n"]:
+            break
+        if round_ == MOST_ROUNDS:
+            raise RuntimeError(f"distances did not settle in {MOST_ROUNDS} rounds")
+        front = state.where("changed").select("source", "id", "best")
+        if ends is not None:
+            # A source's search ends at the farthest of its ends, once all of them are reached.
+            bound = ends.select("source", "id").distinct().join(state.select("source", "id", "best.dist"), ["source", "id"], "left").groupBy("source").agg(F.when(F.count("dist") == F.count(F.lit(1)), F.max("dist")).alias("bound"))
+            front = front.join(bound, "source").where("bound IS NULL OR best.dist < bound").drop("bound")
+        hops = [front]
+        for _ in range(HOPS):
+            offer = F.struct((F.col("best.dist") + F.col("w")).alias("dist"), (F.col("best.hops") + 1).alias("hops"), F.col("id").alias("last"))
+            onward = hops[-1].join(steps, F.col("id") == F.col("src")).where("dst <> source").select("source", F.col("dst").alias("id"), offer.alias("best"))
+            hops.append(onward.groupBy("source", "id").agg(F.min("best").alias("best")))
+        offers = _union(hops[1:]).withColumn("old", F.lit(False))
+        both = state.select("source", "id", "best").withColumn("old", F.lit(True)).unionByName(offers)
+        least = both.groupBy("source", "id").agg(F.min("best").alias("best"), F.min(F.when(F.col("old"), F.col("best"))).alias("was"))
+        moved = least.select("source", "id", "best", (F.col("was").isNull() | (F.col("best") < F.col("was"))).alias("changed"))
+        used.append(path)
+        state, path, seen = written(moved, "paths", n=F.count_if("changed"))
+    deleted(spark, used)
+    return state.select("source", "id", "best.dist", "best.hops", "best.last")
+
+
+def with_paths(found: DataFrame) -> DataFrame:
+    """``source, id, dist, path`` of shortest_distances' rows: nodes from the source to each node. Each round doubles the stretch of path that a row holds."""
+    spark, used = found.sparkSession, []
+    held = found.select("source", "id", "dist", F.col("last").alias("at"), F.array("id").alias("tail"))
+    rows, path, seen = written(held, "pointers", n=F.count("at"))
+    while seen["n"]:
+        used.append(path)
+        ahead = rows.select("source", F.col("id").alias("at"), F.col("at").alias("then"), F.col("tail").alias("head"))
+        joined = rows.join(ahead, ["source", "at"], "left")
+        rows, path, seen = written(joined.select("source", "id", "dist", F.col("then").alias("at"), F.when(F.col("head").isNull(), F.col("tail")).otherwise(F.concat("head", "tail")).alias("tail")), "pointers", n=F.count("at"))
+    deleted(spark, used)
+    return rows.select("source", "id", "dist", F.col("tail").alias("path"))
+
+
+def shortest_paths(sources: DataFrame, weighted: DataFrame, ends: DataFrame | None = None) -> DataFrame:
+    """``source, id, dist, path`` from each source to the nodes that it reaches (see shortest_distances); a path never visits a node twice."""
+    return with_paths(shortest_distances(sources, weighted, ends))
 
 
 def paths_between(pairs: DataFrame, weighted: DataFrame, nodes: DataFrame) -> DataFrame:
     """``start, end, path, dist, found`` for ``pairs(start, end)``: an empty path where an end is unknown or not reached, the node alone from itself."""
-    ids = nodes.select("id")
-    known = pairs.join(ids.select(F.col("id").alias("start")), "start", "left_semi").join(ids.select(F.col("id").alias("end")), "end", "left_semi")
-    paths = shortest_paths(known.select(F.col("start").alias("id")), weighted).withColumnsRenamed({"source": "start", "id": "end"})
-    reached = known.distinct().join(paths, ["start", "end"])
+    known = _known(pairs, nodes)
+    paths = shortest_paths(known.select(F.col("start").alias("id")), weighted, known.select(F.col("start").alias("source"), F.col("end").alias("id")))
+    paths = paths.withColumnsRenamed({"source": "start", "id": "end"})
+    reached = known.join(paths, ["start", "end"])
     none = F.array().cast(reached.schema["path"].dataType)
     return pairs.join(reached, ["start", "end"], "left").select("start", "end", F.coalesce("path", none).alias("path"), "dist", F.col("path").isNotNull().alias("found"))
 

@@ -1,9 +1,11 @@
-"""The queries as SQL for DuckDB, written independently of the Spark plans."""
+"""The queries as SQL for DuckDB. Plans are written anew here; patterns, names and sample rows, which are fixed values, are those of the package, and tests hold them against expected texts."""
 
 from __future__ import annotations
 
 from ..functions import patterns as P
-from .inputs import DUCK_INPUTS
+from ..sources.graphs import SAMPLE_LINKS, SAMPLE_NODES
+from ..sources.instructions import SAMPLE
+from .inputs import DUCK_INPUTS, PLACES
 
 WITH = f"WITH RECURSIVE {DUCK_INPUTS}"
 
@@ -84,15 +86,52 @@ _B = "CASE WHEN abs(lat2 - lat1) > abs(lon2 - lon1) THEN CASE WHEN lat2 > lat1 T
 
 def _paths(weight: str) -> str:
     return f"""{_ENDS}, weights AS MATERIALIZED (SELECT src, dst, min({weight}) AS w FROM (SELECT src, dst, {_METRES} AS w FROM ends) AS x GROUP BY src, dst),
-best(source, id, d, path) USING KEY (source, id) AS (SELECT id, id, CAST(0 AS DOUBLE), [id] FROM sources UNION
- SELECT t.source, e.dst, min(t.d + e.w), arg_min(list_append(t.path, e.dst), t.d + e.w) FROM best AS t JOIN weights AS e ON e.src = t.id LEFT JOIN recurring.best AS r ON r.source = t.source AND r.id = e.dst
+{_best("weights", "sources")}"""
+
+
+def _best(weights: str, sources: str) -> str:
+    return f"""best(source, id, d, path) USING KEY (source, id) AS (SELECT id, id, CAST(0 AS DOUBLE), [id] FROM {sources} UNION
+ SELECT t.source, e.dst, min(t.d + e.w), arg_min(list_append(t.path, e.dst), t.d + e.w) FROM best AS t JOIN {weights} AS e ON e.src = t.id LEFT JOIN recurring.best AS r ON r.source = t.source AND r.id = e.dst
  WHERE r.d IS NULL OR t.d + e.w < r.d GROUP BY t.source, e.dst)"""
 
 
 _REACH = "reach(s, id) AS (SELECT DISTINCT start, start FROM pairs WHERE start IN (SELECT id FROM geo_nodes) UNION SELECT r.s, e.dst FROM reach AS r JOIN geo_edges AS e ON e.src = r.id)"
 _UNTIDY = "(SELECT id, concat('  , ', instruction, ' ,, ' || chr(10) || ' and ,x ,') AS t FROM instructions)"
 
+
+
+def _rows(rows: list[tuple], names: str) -> str:
+    """A table of constants."""
+    value = lambda v: _q(v) if isinstance(v, str) else f"CAST({v} AS DOUBLE)" if isinstance(v, float) else str(v)
+    return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(value, r)) + ')' for r in rows)}) AS t({names}))"
+
+
+_SAMPLE = f"SELECT * FROM {_rows(SAMPLE, 'id, region, instruction, target_lat, target_lon')}"
+_SAMPLE_EDGES = f"SELECT src, dst, CAST(row_number() OVER (PARTITION BY src ORDER BY k) - 1 AS INTEGER) AS pos FROM (SELECT src, dst, k FROM {_rows([(k, *x) for k, x in enumerate(SAMPLE_LINKS)], 'k, src, dst')} UNION ALL SELECT dst, src, k FROM {_rows([(k, *x) for k, x in enumerate(SAMPLE_LINKS)], 'k, src, dst')})"
+_SAMPLE_NODES = f"SELECT * FROM {_rows(SAMPLE_NODES, 'id, lat, lon, name')}"
+_INSTRUCTIONS = f"{WITH} SELECT id, region, instruction, target_lat, target_lon FROM instructions"
+_SAMPLED = "SELECT id FROM instructions ORDER BY md5('42:' || id), id LIMIT 100"
+_VALID = "valid AS (SELECT id FROM (SELECT id, coalesce(nullif(lat, 0), nullif(latitude, 0), y) AS lat, coalesce(nullif(lon, 0), nullif(longitude, 0), x) AS lon FROM raw_nodes) AS n WHERE lat IS NOT NULL AND lon IS NOT NULL)"
+_TEXTS = "CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst"
+_NAVIGATION = f"""weights AS MATERIALIZED (SELECT src, dst, min(coalesce(length, 1)) AS w FROM roads GROUP BY src, dst), starts AS (SELECT id FROM geo_nodes WHERE id = {PLACES[0]}), {_best("weights", "starts")}"""
+
 ORACLE_SQL: dict[str, str] = {
+    "instructions_sample": _SAMPLE,
+    "instructions_json": _SAMPLE,
+    "instructions_jsonl": _INSTRUCTIONS,
+    "instructions_csv": _INSTRUCTIONS,
+    "variants_csv": f"{WITH}, {_VARIANTS} SELECT * EXCLUDE (strategy_no) FROM variants",
+    "dataset_driver": f"{WITH}, {_VARIANTS} SELECT * EXCLUDE (strategy_no) FROM variants WHERE instruction_id IN ({_SAMPLED})",
+    "sample_exact_n": f"{WITH} SELECT id, instruction FROM instructions WHERE id IN ({_SAMPLED})",
+    "sample_graph_nodes": _SAMPLE_NODES,
+    "sample_graph_edges": _SAMPLE_EDGES,
+    "graph_json_nodes": _SAMPLE_NODES,
+    "graph_json_edges": _SAMPLE_EDGES,
+    "graph_tables_edges": f"{WITH}, {_VALID} SELECT {_TEXTS}, pos FROM raw_edges WHERE src IN (SELECT id FROM valid) AND dst IN (SELECT id FROM valid)",
+    "graph_tables_stats": f"{WITH}, {_VALID} SELECT (SELECT count(*) FROM valid) AS n_nodes, count(*) FILTER (dst IN (SELECT id FROM valid)) AS n_edges, count(*) FILTER (dst NOT IN (SELECT id FROM valid)) AS n_skipped FROM raw_edges WHERE src IN (SELECT id FROM valid)",
+    "graph_tables_read": f"{WITH}, {_VALID} SELECT {_TEXTS}, length FROM roads WHERE src IN (SELECT id FROM valid) AND dst IN (SELECT id FROM valid)",
+    "positional_pick": f"{WITH} SELECT id AS pos, id, name FROM geo_nodes WHERE id IN {PLACES}",
+    "navigation_decision": f"""{WITH}, {_NAVIGATION} SELECT CAST(b.source AS VARCHAR) AS start, CAST(b.id AS VARCHAR) AS "end", CAST(b.path[2] AS VARCHAR) AS step, direction FROM best AS b JOIN (SELECT s.id AS s, t.id AS t, {_B} AS direction FROM (SELECT s.id, s.lat AS lat1, s.lon AS lon1 FROM geo_nodes AS s) AS s JOIN roads AS e ON e.src = s.id JOIN (SELECT t.id, t.lat AS lat2, t.lon AS lon2 FROM geo_nodes AS t) AS t ON t.id = e.dst) AS d ON d.s = b.source AND d.t = b.path[2] WHERE b.id = {PLACES[1]}""",
     "cardinal_terms": f"{WITH} SELECT id, {_terms(_all('instruction', P.CARDINAL))} AS terms FROM instructions",
     "ordinal_dir_terms": f"{WITH} SELECT id, {_terms(_all('instruction', P.ORDINAL_DIRECTION))} AS terms FROM instructions",
     "distance_terms": f"{WITH} SELECT id, {_terms(_ranges('instruction', P.DISTANCE, True))} AS terms FROM instructions",
@@ -112,11 +151,11 @@ ORACLE_SQL: dict[str, str] = {
     "edges_valid": f"{WITH} SELECT src, dst, pos FROM raw_edges WHERE dst IN (SELECT id FROM geo_nodes)",
     "edges_dangling": f"{WITH} SELECT src, dst, pos FROM raw_edges WHERE dst NOT IN (SELECT id FROM geo_nodes)",
     "graph_stats": f"{WITH} SELECT (SELECT count(*) FROM geo_nodes) AS n_nodes, count(*) FILTER (dst IN (SELECT id FROM geo_nodes)) AS n_edges, count(*) FILTER (dst NOT IN (SELECT id FROM geo_nodes)) AS n_removed FROM raw_edges",
-    "node_lookup": f"{WITH}, i AS (SELECT id FROM geo_nodes WHERE id % 7 = 0 UNION ALL SELECT -id - 1 FROM geo_nodes WHERE id % 7 = 0) SELECT i.id, n.lat, n.lon FROM i LEFT JOIN geo_nodes AS n ON n.id = i.id",
+    "node_lookup": f"{WITH}, i AS (SELECT id FROM geo_nodes UNION ALL SELECT -id - 1 FROM geo_nodes) SELECT i.id, n.lat, n.lon FROM i LEFT JOIN geo_nodes AS n ON n.id = i.id",
     "edge_haversine": f"{WITH}, {_ENDS} SELECT src, dst, pos, round({_METRES}, 3) AS metres FROM ends",
     "direction_axis_a": f"{WITH}, {_ENDS} SELECT src, dst, {_A} AS direction FROM (SELECT * EXCLUDE (pos) FROM ends UNION ALL SELECT * FROM ties) AS x",
     "direction_axis_b": f"{WITH}, {_ENDS} SELECT src, dst, {_B} AS direction FROM (SELECT * EXCLUDE (pos) FROM ends UNION ALL SELECT * FROM ties) AS x",
-    "neighbors_of": f"{WITH} SELECT src AS id, dst, pos FROM geo_edges WHERE src % 10 = 0",
+    "neighbors_of": f"{WITH} SELECT src AS id, dst, pos FROM geo_edges",
     "edges_symmetric": f"{WITH} SELECT src, dst FROM geo_edges UNION ALL SELECT dst, src FROM geo_edges",
     "first_neighbor": f"{WITH} SELECT src, arg_min(dst, pos) AS dst FROM geo_edges GROUP BY src",
     "reachability_batch": f"""{WITH}, {_REACH} SELECT start, "end", (start IN (SELECT id FROM geo_nodes) AND "end" IN (SELECT id FROM geo_nodes) AND (start, "end") IN (SELECT s, id FROM reach)) AS reachable FROM pairs""",

@@ -11,7 +11,11 @@ from ..functions import patterns as P
 from ..functions import text as X
 from ..functions.geo import direction_ew_first, direction_ns_first, haversine
 from ..operators import graphs, paths, variants
-from .inputs import RAW_NODES, TIES, Inputs
+from ..api import InstructionDegrader, StreetGraph
+from ..session import shared_path
+from ..sources import graphs as graph_files
+from ..sources import instructions as instruction_files
+from .inputs import PLACES, TIES, Inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -130,7 +134,7 @@ def sample_exact_n(i: Inputs) -> DataFrame:
 
 @query
 def node_normalise(i: Inputs) -> DataFrame:
-    return graphs.normalise_nodes(i.sql(RAW_NODES.replace("geo_nodes", "{geo_nodes}"), geo_nodes=i.nodes))
+    return graphs.normalise_nodes(i.raw_nodes)
 
 
 @query
@@ -150,7 +154,7 @@ def graph_stats(i: Inputs) -> DataFrame:
 
 @query
 def node_lookup(i: Inputs) -> DataFrame:
-    known = i.nodes.where("id % 7 = 0").select("id")
+    known = i.nodes.select("id")
     return graphs.node_coordinates(known.union(known.select(-F.col("id") - 1)), i.nodes)
 
 
@@ -175,7 +179,7 @@ def direction_axis_b(i: Inputs) -> DataFrame:
 
 @query
 def neighbors_of(i: Inputs) -> DataFrame:
-    return graphs.neighbours(i.nodes.where("id % 10 = 0").select("id"), i.edges)
+    return graphs.neighbours(i.nodes.select("id"), i.edges)
 
 
 @query
@@ -199,14 +203,14 @@ def _shortest(i: Inputs) -> DataFrame:
 
 @query
 def shortest_distance(i: Inputs) -> DataFrame:
-    return _shortest(i).select("source", "id", F.round("dist", 3).alias("dist"))
+    return paths.shortest_distances(i.sources, paths.geographic(i.edges, i.nodes)).select("source", "id", F.round("dist", 3).alias("dist"))
 
 
 @query
 def shortest_distance_length(i: Inputs) -> DataFrame:
     length = F.when(F.col("src") % 11 != 0, F.round("w", 0)).alias("length")
     stored = paths.geographic(i.edges, i.nodes).select("src", "dst", length)
-    return paths.shortest_paths(i.sources, paths.by_length(stored)).select("source", "id", F.round("dist", 3).alias("dist"))
+    return paths.shortest_distances(i.sources, paths.by_length(stored)).select("source", "id", F.round("dist", 3).alias("dist"))
 
 
 @query
@@ -230,3 +234,105 @@ def path_length(i: Inputs) -> DataFrame:
 def first_step_direction(i: Inputs) -> DataFrame:
     found = _shortest(i).select(F.col("source").alias("start"), F.col("id").alias("end"), "path")
     return paths.first_directions(found, i.nodes, direction_ew_first)
+
+
+@query
+def instructions_sample(i: Inputs) -> DataFrame:
+    return instruction_files.read_instructions(i.spark)
+
+
+@query
+def instructions_json(i: Inputs) -> DataFrame:
+    """The sample as a file with one array, as the format has it."""
+    path, rows = shared_path(i.spark, "instructions") + ".json", instruction_files.sample_instructions(i.spark)
+    rows.agg(F.to_json(F.collect_list(F.struct("*")))).write.text(path)
+    return instruction_files.read_instructions(i.spark, path)
+
+
+@query
+def instructions_jsonl(i: Inputs) -> DataFrame:
+    path = shared_path(i.spark, "instructions") + ".jsonl"
+    i.instructions.write.json(path)
+    return instruction_files.read_instructions(i.spark, path)
+
+
+@query
+def instructions_csv(i: Inputs) -> DataFrame:
+    path = shared_path(i.spark, "instructions") + ".csv"
+    i.instructions.write.options(**{k: v for k, v in instruction_files.CSV.items() if k != "multiLine"}).csv(path)
+    return instruction_files.read_instructions(i.spark, path)
+
+
+@query
+def variants_csv(i: Inputs) -> DataFrame:
+    path = shared_path(i.spark, "variants") + ".csv"
+    instruction_files.write_variants(_variants(i), path)
+    return instruction_files.read_variants(i.spark, path).withColumn("removed_information", canonical("removed_information"))
+
+
+@query
+def dataset_driver(i: Inputs) -> DataFrame:
+    """Instructions of a file, a hundred of them sampled, and their variants."""
+    path = shared_path(i.spark, "instructions") + ".parquet"
+    i.instructions.write.parquet(path)
+    return InstructionDegrader(i.spark, path).generate(100).withColumn("removed_information", canonical("removed_information")).drop("strategy_no")
+
+
+@query
+def sample_graph_nodes(i: Inputs) -> DataFrame:
+    return graph_files.sample_graph(i.spark).nodes
+
+
+@query
+def sample_graph_edges(i: Inputs) -> DataFrame:
+    return graph_files.read_graph(i.spark, shared_path(i.spark, "nothing") + ".json").edges
+
+
+def _graph_file(i: Inputs) -> graph_files.Graph:
+    """The sample with an edge to nowhere, written and read again."""
+    path, graph = shared_path(i.spark, "graph") + ".json", graph_files.sample_graph(i.spark)
+    extra = i.spark.createDataFrame([("museum", "nowhere", 9)], "src string, dst string, pos int")
+    graph_files.write_graph(graph_files.Graph(graph.nodes, graph.edges.unionByName(extra)), path)
+    return graph_files.read_graph(i.spark, path)
+
+
+@query
+def graph_json_nodes(i: Inputs) -> DataFrame:
+    return _graph_file(i).nodes.select("id", "lat", "lon", "name")
+
+
+@query
+def graph_json_edges(i: Inputs) -> DataFrame:
+    return _graph_file(i).edges
+
+
+@query
+def graph_tables_edges(i: Inputs) -> DataFrame:
+    return graph_files.graph_from_tables(i.raw_nodes, i.raw_edges).edges
+
+
+@query
+def graph_tables_stats(i: Inputs) -> DataFrame:
+    return graph_files.table_stats(i.raw_nodes, i.raw_edges)
+
+
+@query
+def graph_tables_read(i: Inputs) -> DataFrame:
+    """Exported tables of nodes and edges, read again."""
+    nodes, edges = shared_path(i.spark, "nodes") + ".jsonl", shared_path(i.spark, "edges") + ".parquet"
+    i.raw_nodes.write.json(nodes)
+    i.roads.write.parquet(edges)
+    return graph_files.read_tables(i.spark, nodes, edges).edges.select("src", "dst", "length")
+
+
+@query
+def positional_pick(i: Inputs) -> DataFrame:
+    return paths.pick(i.nodes.withColumn("pos", F.col("id")), list(PLACES)).select("pos", "id", "name")
+
+
+@query
+def navigation_decision(i: Inputs) -> DataFrame:
+    """From the node at one place to that at another by stored lengths: the first step and where it goes."""
+    ends = {r.pos: str(r.id) for r in positional_pick(i).collect()}  # two rows
+    graph = StreetGraph(i.spark, graph_files.graph_from_tables(i.nodes, i.roads))
+    return graph.navigation_decisions(i.spark.createDataFrame([tuple(ends[p] for p in PLACES)], "start string, end string"), by_length=True)

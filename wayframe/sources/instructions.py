@@ -25,12 +25,14 @@ def sample_instructions(spark: SparkSession) -> DataFrame:
 
 
 def read_instructions(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """Instructions of a ``.json`` (an array or lines of records), ``.csv`` or ``.parquet`` path; without a path the sample; ValueError for other kinds."""
+    """Instructions of a ``.json`` (an array of records), ``.jsonl`` (a record a line, read in parallel), ``.csv`` or ``.parquet`` path; without a path the sample; ValueError for other kinds."""
     if path is None:
         return sample_instructions(spark)
     reader = spark.read.schema(schemas.INSTRUCTIONS)
     if path.endswith(".json"):
         return reader.option("multiLine", True).json(path)
+    if path.endswith(".jsonl"):
+        return reader.json(path)
     if path.endswith(".csv"):
         return reader.options(**CSV, enforceSchema=False).csv(path)
     if path.endswith(".parquet"):
@@ -38,6 +40,11 @@ def read_instructions(spark: SparkSession, path: str | None = None) -> DataFrame
     raise ValueError(f"instructions can't be read from this kind of file: {path}")
 
 
+def read_variants(spark: SparkSession, path: str) -> DataFrame:
+    """What write_variants wrote."""
+    return spark.read.schema(schemas.VARIANTS).options(**CSV, enforceSchema=False).csv(path)
+
+
 def write_variants(variants: DataFrame, path: str, files: int | None = None) -> None:
     """CSV with a header, quotes doubled, sorted within files by instruction and strategy. files: as many files at most (1 for a single file; small tables only)."""
     rows = variants if files is None else variants.coalesce(files)
