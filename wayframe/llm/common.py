@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import shared_root
+
 #: Text bytes that one step of a Python worker handles together.
 STEP_BYTES = 4 << 20
 
@@ -17,12 +18,10 @@ STEP_BYTES = 4 << 20
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder name under spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is absent, as in tests on one machine, a local folder is taken.
+    Only where that setting is absent and the session runs on one machine, as in tests, a local
+    folder is taken; a cluster without it is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.gettempdir()}/checkpoints"
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, purpose: str, path: str | None = None) -> DataFrame:

@@ -29,6 +29,29 @@ sums AS (SELECT rid, sum(b - a) AS n, count(*) AS m FROM runs GROUP BY rid)
 SELECT d.doc_id, CAST(len(d.x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(s.n, 0) AS BIGINT) AS n_removed, CAST(coalesce(s.m, 0) AS BIGINT) AS n_spans, sha256(unhex(k.x)) AS kept_sha256
 FROM d JOIN kept AS k ON k.rid = d.rid LEFT JOIN sums AS s ON s.rid = d.rid"""
 
+#: crc32 of the bytes of x, as hexadecimal digits, by its definition: a byte at a time, a bit at a time.
+_BIT = "list_reduce(list_prepend({}, range(8)), lambda v, _: xor(v >> 1, (v & 1) * 3988292384))"
+_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length(x), 2), lambda k: CAST('0x' || substr(x, k, 2) AS BIGINT))), lambda c, b: xor(c >> 8, " + _BIT.format("xor(c & 255, b)") + ")))"
+#: Counts of words, symbols and repeats; the mean log ratio of n-grams' shares in good documents and in all of them, in 8192 buckets.
+QUALITY = rf"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good FROM documents),
+w AS MATERIALIZED (SELECT r, regexp_extract_all(text, '[^ 	-]+') AS w FROM d),
+words AS MATERIALIZED (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS k, len(w) AS n FROM w),
+ahead AS MATERIALIZED (SELECT r, k, n, x, lead(x, 1) OVER v AS x1, lead(x, 2) OVER v AS x2, lead(x, 3) OVER v AS x3, lead(x, 4) OVER v AS x4 FROM words WINDOW v AS (PARTITION BY r ORDER BY k)),
+five AS (SELECT r, k, count(*) OVER (PARTITION BY r, x, x1, x2, x3, x4) AS c FROM ahead WHERE k <= n - 4),
+covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(k, k + 5)) AS p FROM five WHERE c > 1) GROUP BY r),
+lines AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM (SELECT r, unnest(string_split(text, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^ 	-]') GROUP BY r),
+grams AS MATERIALIZED (SELECT r, x AS g FROM ahead UNION ALL SELECT r, x || ' ' || x1 FROM ahead WHERE k < n),
+buckets AS MATERIALIZED (SELECT g, {_CRC} & 8191 AS b FROM (SELECT g, hex(encode(g)) AS x FROM (SELECT DISTINCT g FROM grams))),
+placed AS MATERIALIZED (SELECT g.r, b.b, d.good FROM grams AS g JOIN buckets AS b ON b.g = g.g JOIN d ON d.r = g.r),
+counts AS (SELECT b, count(*) AS n, count(*) FILTER (good) AS m FROM placed GROUP BY b),
+sums AS (SELECT sum(n) AS n, sum(m) AS m FROM counts),
+ratios AS (SELECT b, ln((c.m + 1) / (s.m + 8192.0)) - ln((c.n + 1) / (s.n + 8192.0)) AS v FROM counts AS c, sums AS s),
+scores AS (SELECT p.r, sum(v) AS s FROM placed AS p JOIN ratios AS q ON q.b = p.b GROUP BY p.r),
+base AS (SELECT d.r, d.doc_id, len(w.w) AS n_words, coalesce(list_sum(list_transform(w.w, lambda x: length(x))), 0) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(l.n, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, s.s / (2 * len(w.w) - 1) AS score
+ FROM d JOIN w ON w.r = d.r LEFT JOIN lines AS l ON l.r = d.r LEFT JOIN covered AS c ON c.r = d.r LEFT JOIN scores AS s ON s.r = d.r),
+failed AS (SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed FROM base)
+SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(score >= -0.1, true) AS kept, round(score, 6) AS score FROM failed"""
+
 _DIGITS = lambda text, at, n: f"CAST('0x' || substr({text}, {at}, {n}) AS BIGINT)"
 _WORDS = ", ".join(f"sum({_DIGITS('h', 8 * k + 1, 8)}) % 4294967296 AS f{k}" for k in range(8))
 _DOT = lambda a, b: f"list_sum(list_transform(range(1, 129), lambda k: CAST({a}[k] AS DOUBLE) * CAST({b}[k] AS DOUBLE)))"
@@ -48,4 +71,4 @@ v AS MATERIALIZED (SELECT r, kind, sk, array_to_string(list_transform(f, lambda
 SELECT e.doc_id, CAST(e.n AS BIGINT) AS n_chars, sha256(e.edited) AS edited_sha256, a.t AS fingerprint, b.t AS edited_fingerprint, {_NEAR('a', 'b')} AS near_edited, {_NEAR('a', 'c')} AS near_next
 FROM e JOIN v AS a ON a.r = e.r AND a.kind = 0 JOIN v AS b ON b.r = e.r AND b.kind = 1 JOIN v AS c ON c.r = e.next AND c.kind = 0"""
 
-ORACLE_SQL: dict[str, str] = {"op4_lsh_forest": NEAR, "op7_bwt_dedup": REPEATS, "op10_multiset_hash": FINGERPRINTS}
+ORACLE_SQL: dict[str, str] = {"op6_ngram_ratio": QUALITY, "op4_lsh_forest": NEAR, "op7_bwt_dedup": REPEATS, "op10_multiset_hash": FINGERPRINTS}

@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Hash buckets; the ratio table has that many numbers at every corpus size.
+#: Hash buckets, a power of two; the ratio table has that many numbers at every corpus size.
 BUCKETS = 8192
 #: Least mean log ratio (nats an n-gram) of a kept document: its n-grams may be this much likelier in the corpus than in trusted text.
 THRESHOLD = -0.1
@@ -29,11 +29,11 @@ def words_of(text: Column) -> Column:
 
 
 def ngrams_of(words: Column) -> Column:
-    """Bucket numbers of all words and word pairs."""
-    bucket = lambda *x: F.pmod(F.xxhash64(*x), F.lit(BUCKETS)).cast("int")
+    """Bucket numbers of all words and word pairs: the low bits of crc32, of a pair's words with a space between them."""
+    bucket = lambda x: F.crc32(x.cast("binary")).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
     n = F.size(words)
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(n - 1, F.lit(0))), F.slice(words, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: bucket(a, b))
-    return F.concat(F.transform(words, lambda w: bucket(w)), pairs)
+    pairs = F.zip_with(F.slice(words, 1, F.greatest(n - 1, F.lit(0))), F.slice(words, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: bucket(F.concat(a, F.lit(" "), b)))
+    return F.concat(F.transform(words, bucket), pairs)
 
 
 def window_hashes(words: Column) -> Column:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe_automaton, lsh_forest, multiset_hash, packing, quality_fm, quality_rules, secrets, suffix_dedup, token_files, url_trees
 from .common import table
@@ -42,7 +43,7 @@ def op5_pow2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").where("quality = 1")
     judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), trusted)
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("score", 6).alias("score"))
 
 
 def op7_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
