@@ -77,10 +77,23 @@ def test_classifier(spark, odd, none):
     assert quality_fm.classify(none, marks).count() == 0
     again = {r.doc_id: r.score for r in quality_fm.classify(docs.where("doc_id < 900"), marks).collect()}
     assert all(again[k] == pytest.approx(got[k].score) for k, _ in labels)
+    copies = docs.where("doc_id = 3").crossJoin(spark.range(50).select(F.col("id").alias("_n"))).drop("_n")
+    assert quality_fm.train(docs.unionByName(copies), marks, most_rows=40).w.any()  # repeated ids count against the bound
     one_class = quality_fm.classify(docs, marks.where("quality = 1")).where("doc_id = 3").first()
     assert one_class.score > 0.9
 
 
+def test_held_out_accuracy(spark):
+    """Rows that the classifier never saw, against always saying the more frequent label."""
+    larger = "/root/testdata/sf0.1"  # the smaller ones have some twenty held-out labels
+    if not os.path.isdir(larger):
+        pytest.skip("no test tables")
+    docs, marks = (spark.read.parquet(f"{larger}/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality_fm.classify(docs, marks).join(marks, "doc_id").where("held_out AND quality IS NOT NULL").select("score", "predicted", "quality").collect()
+    right, share = np.mean([r.predicted == r.quality for r in rows]), np.mean([r.quality for r in rows])
+    assert len(rows) > 500 and right >= 0.97 > max(share, 1 - share) + 0.1, (right, share, len(rows))
+
+
 def host_path(url):
     if url is None or "://" not in url:
         return "", ""
@@ -120,6 +133,22 @@ def test_url_trees_learn(spark):
     assert np.mean([(r.verdict == "block") == ("/de/" in r.path) for r in rows]) > 0.95
 
 
+def test_url_trees_on_held_out_urls(spark):
+    """Urls whose rule is kept from the trees: .com and .org hosts are learned from, .net hosts judged by what their paths say, with noise in a tenth of the rules' labels' paths."""
+    rng = random.Random(9)
+    rows = []
+    for k in range(3000):
+        top, bad = rng.choice(["com", "org", "net"]), rng.random() < 0.4
+        tail = "".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(12, 20))) if bad else rng.choice(["news", "sport", "about", "wiki"])
+        folder = "x" if bad else "y"
+        rows.append((k, f"http://h{rng.randrange(400)}.site{rng.randrange(50)}.{top}/{rng.choice(['a', 'b', 'c']) if top == 'net' else folder}/{tail}{'?q=' + tail if bad else ''}", bad, top))
+    pages = spark.createDataFrame(rows, "page_id long, url string, bad boolean, top string")
+    rules = [(v, f"{t}/{f}/") for t in ("com", "org") for v, f in (("block", "x"), ("allow", "y"))]
+    got = {r.page_id: r for r in url_trees.judge_urls(pages, rules).collect()}
+    unseen = [(got[k].verdict == "block") == bad for k, _, bad, top in rows if top == "net"]
+    assert all(got[k].rule is None for k, _, _, top in rows if top == "net") and np.mean(unseen) >= 0.9, np.mean(unseen)
+
+
 def test_secrets(spark, odd, none):
     key = "q8Zr-2Lx0VbT7+nW4/kPz19Yc"
     cases = {

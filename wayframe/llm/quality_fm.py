@@ -126,7 +126,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int
 
 
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Machine:
-    """Fits on ``labels(doc_id, quality)`` joined to ``docs(doc_id, text)``: most_rows rows at most, the least by a hash of doc_id. Null labels are left out; doc_id is used to join and choose only."""
+    """Fits on ``labels(doc_id, quality)`` joined to ``docs(doc_id, text)``: most_rows rows at most, the least by a hash of doc_id, repeated ids and labels included. Null labels are left out; doc_id is used to join and choose only."""
     chosen = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("quality")).orderBy(F.xxhash64("_id", F.lit(11)), "_id").limit(most_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", "quality", "text")  # at most most_rows rows
 
@@ -135,7 +135,8 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Mac
             made = [vector(t or "") for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.astype(np.int32).tobytes() for s, _ in made], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in made], pa.binary())], ["_id", "quality", "slots", "values"])
 
-    got = rows.mapInArrow(run, "_id long, quality int, slots binary, values binary").toArrow().sort_by([("_id", "ascending"), ("slots", "ascending")])
+    made = rows.mapInArrow(run, "_id long, quality int, slots binary, values binary")
+    got = made.orderBy(F.xxhash64("_id", F.lit(11)), "_id", "slots", "quality").limit(most_rows).toArrow().sort_by([("_id", "ascending"), ("slots", "ascending")])
     vectors = [(np.frombuffer(s, np.int32).astype(np.int64), np.frombuffer(v, np.float32).astype(np.float64)) for s, v in zip(got["slots"].to_pylist(), got["values"].to_pylist())]
     return fit(vectors, np.array(got["quality"].to_pylist(), np.float64))
 
