@@ -16,7 +16,7 @@ ROWS = [
 @pytest.fixture(scope="session")
 def odd(spark):
     """Documents with nulls, empty and long texts, repeated rows and ids, and columns with clashing names."""
-    names = ["id", "h", "n", "start", "spans", "label", "score", "kept", "set_key", "class_id", "bytes", "content"]
+    names = ["id", "n", "start", "spans", "label", "score", "kept", "set_key", "class_id", "bytes", "content", "row", "changed", "frame", "h", "kept_id", "kept_hash", "kept_all", "_rule_w", "_rule_row", "_rule_stays", "own_id"]
     rows = [(*r, len(r[1] or ""), *[7] * len(names)) for r in ROWS]
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long, " + ", ".join(f"{n} int" for n in names))
 

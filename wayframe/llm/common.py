@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import shared_root
 
@@ -43,6 +44,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def nested(docs: DataFrame) -> DataFrame:
+    """``row, doc_id, text``: all columns but text in one struct, so that names of steps can't clash with theirs."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), "doc_id", "text")
+
+
+def unnested(rows: DataFrame, like: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of like from ``row, text``; changed: other values for some of them."""
+    each = lambda c: changed[c] if c in changed else F.col("text") if c == "text" else F.col("row").getField(c)
+    return rows.select(*[each(c).alias(c) for c in like.columns])
+
+
+def recounted(rows: DataFrame, like: DataFrame, flag: str) -> DataFrame:
+    """unnested, with n_chars (where like has such a column) counted anew where the flag holds."""
+    if "n_chars" not in like.columns:
+        return unnested(rows, like)
+    n = F.when(F.col(flag), F.char_length("text").cast(like.schema["n_chars"].dataType)).otherwise(F.col("row").getField("n_chars"))
+    return unnested(rows, like, n_chars=n)
+
+
 def steps(batches: Iterator[pa.RecordBatch], text_at: int = -1) -> Iterator[pa.RecordBatch]:
     """Cuts batches into runs of rows whose texts take about STEP_BYTES (one row at least).
 

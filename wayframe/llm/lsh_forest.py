@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, steps
+from .common import discard, nested, shared_dir, steps, stored, unnested
 from .components import connected_components
 from .shingles import mixed, shingle_sets
 
@@ -294,22 +294,23 @@ def _tile(t: pa.Table, threshold: float) -> list[tuple]:
     return out
 
 
-def _grouped(docs: DataFrame, words: int, threshold: float, target: float) -> DataFrame:
-    """For each row ``doc_id, text_hash, set_key, class_id, one, n_links, n_texts``; one: the document that stands for the group."""
-    signed = stored(_signed(docs, words), "signatures")
+def _grouped(docs: DataFrame, words: int, threshold: float, target: float) -> tuple[DataFrame, list[str]]:
+    """For each row ``doc_id, text_hash, set_key, class_id, one, n_links, n_texts``; one: the document that stands for the group. And the tables to delete once that is read."""
+    at = [shared_dir(docs.sparkSession, x) for x in ("signatures", "classes", "links")]
+    signed = stored(_signed(docs, words), "signatures", at[0])
     classes = signed.where("set_key IS NOT NULL").groupBy("set_key").agg(F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("rep"), F.first("labels").alias("labels"))
-    classes = stored(classes, "classes")
+    classes = stored(classes, "classes", at[1])
     near = connected_components(_meetings(classes, Forest(threshold, target)))
     sizes = near.groupBy("label").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     spread = F.pmod(F.xxhash64("set_key"), F.col("blocks").cast("long")).cast("int")
     members = near.withColumnRenamed("node", "set_key").join(sizes.select("label", "blocks"), "label").join(classes.select("set_key", "copies", "rep"), "set_key").select("set_key", "label", "blocks", spread.alias("block"), "copies", "rep")
-    found = stored(_verified(members, docs, words, threshold), "links")
+    found = stored(_verified(members, docs, words, threshold), "links", at[2])
     groups = connected_components(found.where("b IS NOT NULL").select("a", "b"))
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("set_key")).agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
     placed = classes.select("set_key", "copies", "rep").join(groups.withColumnRenamed("node", "set_key"), "set_key", "left").join(counts, "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
     ids = placed.groupBy("label").agg(F.min("rep.doc_id").alias("class_id"), F.min("rep").alias("one"))
     info = placed.join(ids, "label").select("set_key", "class_id", "one", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("texts", F.lit(0)).cast("long").alias("n_texts"))
-    return signed.select("doc_id", "text_hash", "set_key").join(info, "set_key", "left")
+    return signed.select("doc_id", "text_hash", "set_key").join(info, "set_key", "left"), at
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, target: float = 0.9999) -> DataFrame:
@@ -323,16 +324,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, tar
     null doc_id is kept; a class has a null class_id only if none of its documents has an id.
     Other columns are unused; an empty table gives no rows.
     """
-    return _grouped(docs, words, threshold, target).select("doc_id", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_texts", F.lit(0)).cast("long").alias("n_texts"))
+    grouped, paths = _grouped(docs, words, threshold, target)
+    out = stored(grouped.select("doc_id", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_texts", F.lit(0)).cast("long").alias("n_texts")), "near")
+    for path in paths:
+        discard(docs, path)
+    return out
 
 
 def keep_one(docs: DataFrame, words: int = 5, threshold: float = 0.8, target: float = 0.9999) -> DataFrame:
     """Rows of docs, all columns, with one document of each near-duplicate group: the one with the least doc_id (null last), of repeated rows one. Documents without a word all stay."""
-    grouped = _grouped(docs, words, threshold, target)
+    grouped, paths = _grouped(docs, words, threshold, target)
     alone = F.col("set_key").isNull()
     here = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    stay = stored(grouped.where(alone | (here == F.col("one"))).select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash"), alone.alias("_kept_all")).distinct(), "kept")
-    same = F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_kept_hash") == F.xxhash64("text"))
-    kept = docs.join(stay.hint("shuffle_hash"), same)
-    wordless = kept.where("_kept_all").select(docs.columns)
-    return kept.where("NOT _kept_all").dropDuplicates(["_kept_id", "_kept_hash"]).select(docs.columns).unionByName(wordless)
+    stay = stored(grouped.where(alone | (here == F.col("one"))).select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"), alone.alias("kept_all")).distinct(), "kept")
+    for path in paths:
+        discard(docs, path)
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("kept_hash") == F.xxhash64("text"))
+    kept = nested(docs).join(stay.hint("shuffle_hash"), same)
+    once = kept.where("NOT kept_all").dropDuplicates(["kept_id", "kept_hash"])
+    return unnested(once.unionByName(kept.where("kept_all")), docs)

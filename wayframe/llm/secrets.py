@@ -24,10 +24,9 @@ from functools import lru_cache
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import steps
+from .common import nested, recounted, steps
 
 KINDS = ("assign", "access", "hex", "novel")
 # The base patterns and their least lengths.
@@ -192,22 +191,17 @@ def scan_documents(docs: DataFrame) -> DataFrame:
 
 def mask_secrets(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     """All rows and columns of docs, with every span replaced by the mask in text, and n_chars (where there is such a column) counted anew for changed texts. A null text stays null."""
-    columns = [c for c in docs.columns if c not in ("text", "n_chars")] + ["n_chars"] * ("n_chars" in docs.columns) + ["text"]
-    rows = docs.select(columns)
+    rows = nested(docs).select("row", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             texts, changed = [], []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
+            for text in batch.column(1).to_pylist():
                 base = base_spans(text or "")
                 spans = base + novel_spans(text or "", base)
                 texts.append(masked(text, spans, mask) if spans else text)
                 changed.append(bool(spans))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array(changed)], [*batch.schema.names[:-1], "text", "_secret_changed"])
-
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema] + [T.StructField("_secret_changed", T.BooleanType())])
-    out = rows.mapInArrow(run, schema)
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("_secret_changed"), F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(changed)], ["row", "text", "changed"])
+
+    schema = T.StructType([rows.schema["row"], T.StructField("text", T.StringType()), T.StructField("changed", T.BooleanType())])
+    return recounted(rows.mapInArrow(run, schema), docs, "changed")

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bwt import prefix_sums, repeated, run_hashes
-from .common import discard, shared_dir, stored, steps
+from .common import discard, nested, recounted, shared_dir, steps, stored
 
 LENGTH, GRAM, CROWD = 200, 40, 2048
 #: Windows in the cells of crowded groups, level by level; the last is one.
@@ -269,12 +269,11 @@ def kept_bytes(data: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([data[a:b] for a, b in zip(ends[::2], ends[1::2])])
 
 
-def _with_spans(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns of docs, of which text is the last and comes as ``_frame``, after their ``_spans``."""
-    names = ("_span_id", "_span_h")
-    keyed = _compressed(docs.select(*[k.alias(n) for k, n in zip(_keys(), names)], *columns), "_frame")
-    spans = repeated_spans(docs).select(F.col("id").alias(names[0]), F.col("h").alias(names[1]), F.col("spans").alias("_spans"))
-    return keyed.join(spans.hint("shuffle_hash"), list(names), "left").select("_spans", *columns[:-1], "_frame")
+def _with_spans(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """``spans, <first column of rows>, frame``; rows: a column to keep, doc_id and text of docs."""
+    kept = rows.columns[0]
+    keyed = _compressed(rows.select(*_keys(), F.col(kept).alias("kept"), "text"), "frame")
+    return keyed.join(repeated_spans(docs).hint("shuffle_hash"), ["id", "h"], "left").select("spans", F.col("kept").alias(kept), "frame")
 
 
 def removal_digests(docs: DataFrame) -> DataFrame:
@@ -293,25 +292,22 @@ def removal_digests(docs: DataFrame) -> DataFrame:
                 rows.append((doc_id, len(data), sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept_bytes(data, runs)).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _with_spans(docs, ["doc_id", "text"]).select("doc_id", "_spans", "_frame").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = docs.select(F.col("doc_id").alias("own_id"), "doc_id", "text")
+    return _with_spans(rows, docs).select("own_id", "spans", "frame").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """All rows and columns of docs with repeated strings cut out of text, and n_chars (where there is such a column) counted anew for changed texts. Characters that a cut divides go as a whole; a null text stays null."""
-    others = [c for c in docs.columns if c != "text"]
-    rows = _with_spans(docs, [*others, "text"])
+    rows = _with_spans(nested(docs), docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             texts = []
-            for spans, data in zip(batch.column(0).to_pylist(), _expanded(batch.column(batch.num_columns - 1))):
+            for spans, data in zip(batch.column(0).to_pylist(), _expanded(batch.column(2))):
                 runs = [] if data is None else joined_runs(spans)
                 ends = [0, *(x for r in runs for x in r), len(data or b"")]
                 texts.append(None if data is None else "".join([data[a:b].decode("utf-8", "ignore") for a, b in zip(ends[::2], ends[1::2])]))
-            changed = pa.compute.is_valid(batch.column(0))
-            yield pa.RecordBatch.from_arrays([changed, *batch.columns[1:-1], pa.array(texts, pa.string())], ["_span_changed", *batch.schema.names[1:-1], "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(texts, pa.string()), pa.compute.is_valid(batch.column(0))], ["row", "text", "changed"])
 
-    out = rows.mapInArrow(run, T.StructType([T.StructField("_span_changed", T.BooleanType()), *(T.StructField(f.name, f.dataType) for f in rows.schema[1:-1]), T.StructField("text", T.StringType())]))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_span_changed"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+    schema = T.StructType([rows.schema["row"], T.StructField("text", T.StringType()), T.StructField("changed", T.BooleanType())])
+    return recounted(rows.mapInArrow(run, schema), docs, "changed")
