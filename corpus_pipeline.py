@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from wayframe.llm import lsh_forest, packing, quality_rules, secrets, suffix_dedup
-from wayframe.llm.common import stored, table
+from wayframe.llm.common import discard, shared_dir, stored, table
 from wayframe.llm.queries import END_ID
 
 
@@ -52,7 +52,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the table documents. A stage's table is deleted once the next one is written; the last but one stays, as the result reads it."""
+    docs, paths = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        paths.append(shared_dir(spark, name.replace(" ", "-")))
+        docs = stored(stage(spark, docs, sf_dir), name, paths[-1])
+        for path in paths[:-1]:
+            discard(docs, path)
+        del paths[:-1]
     return STAGES[-1][1](spark, docs, sf_dir)
