@@ -3,13 +3,13 @@
 import hashlib
 import random
 from collections import Counter
+from functools import partial
 
 import numpy as np
 import pytest
 
-from wayframe.llm import lsh_forest, suffix_dedup
+from wayframe.llm import components, lsh_forest, suffix_dedup
 from wayframe.llm.bwt import repeated
-from wayframe.llm.components import connected_components
 
 
 def corpus(n=60, seed=3):
@@ -92,7 +92,9 @@ def test_groups_of_a_trie_node():
     assert sides.tolist() == [0, 0, 0] and forest.grouped(np.array([label(1)] * 2), np.array([near] * 2), np.array([1, 1])).tolist() == [0, 1]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("at_once", [400_000, 20, 0])
+def test_components(spark, at_once):
+    connected_components = partial(components.connected_components, at_once=at_once)
     edges = [(k, k + 1) for k in range(40)] + [(100, 102), (102, 101), (7, 7), (None, 3)]
     got = {r.node: r.label for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100, 102: 100}

@@ -227,17 +227,19 @@ def _divided(rows: DataFrame, level: int = 0) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """``id, h, spans array<struct<a, b>>``: byte spans to remove from each document (see _keys); spans may overlap."""
     spark = docs.sparkSession
-    at = [shared_dir(spark, x) for x in ("stretches", "shared", "kinds", "bytes")]
+    at = [shared_dir(spark, x) for x in ("stretches", "shared", "kinds", "bytes", "groups", "crowds")]
     parts = stored(_all_stretches(docs), "stretches", at[0])
     ends = [f("c" + k).alias(f"{name}{k}") for k in "12" for name, f in (("low", F.min), ("high", F.max))]
     groups = parts.groupBy("anchor").agg(F.sum("times").alias("n"), *ends).where("n > 1").select("anchor", F.expr("low1 = high1 AND low2 = high2").alias("alike"))
-    shared = stored(parts.join(groups, "anchor"), "shared", at[1])
+    # Written first, so that the join reads both sides by plain exchanges, of which a hot anchor's can be split.
+    shared = stored(parts.join(stored(groups, "groups", at[4]), "anchor"), "shared", at[1])
     discard(parts, at[0])
     unlike = shared.where("NOT alike")
     kinds = unlike.groupBy("anchor", "c1", "c2").agg(F.sum("times").alias("copies"), F.min(F.struct("id", "h", "start", "windows", "anchor_at")).alias("at"))
     kinds = stored(kinds, "kinds", at[2])
-    crowds = kinds.groupBy("anchor").agg((F.count("*") > CROWD).alias("crowded"))
-    bytes_of = stored(_fetched(kinds.join(crowds, "anchor"), docs), "bytes", at[3])
+    crowds = stored(kinds.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("anchor", F.lit(True).alias("crowded")), "crowds", at[5])
+    marked = kinds.join(crowds, "anchor", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+    bytes_of = stored(_fetched(marked, docs), "bytes", at[3])
     crowded = bytes_of.where("crowded").dropDuplicates(["k1", "k2"])
     found = _merged(bytes_of.where("NOT crowded"))
     if not bytes_of.where("crowded").isEmpty():
