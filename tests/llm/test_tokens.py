@@ -180,6 +180,11 @@ def test_packing(spark, odd, none):
         assert b"".join(bytes(p[2]) for p in own) == np.array(ids, "<u4").tobytes()
         assert all(p[3] == zlib.crc32(p[2]) and p[4] == len(ids) for p in own)
     assert packing.pack_documents(none, BYTE, 1).count() == 0
+    path = shared_dir(spark, "test-buckets")
+    packing.write_buckets(packing.pack_documents(odd, BYTE, 1), path)
+    for length in (1, 8, 2048):
+        want = sorted((r.doc_id or -1, r.start, np.frombuffer(r.ids, "<u4").tolist()) for r in rows if r.length == length)
+        assert sorted((r.doc_id or -1, r.start, r.ids) for r in packing.read_bucket(spark, path, length).collect()) == want
     assert packing.piece_lengths(5000, 2048) == [2048, 2048, 512, 256, 128, 8]
     with pytest.raises(ValueError):
         packing.pack_documents(odd, BYTE, 1, length=1000)

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import steps
@@ -54,3 +54,24 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, length: int = 2
 
     pieces = docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids)
     return pieces.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+
+
+def write_buckets(packed: DataFrame, path: str) -> None:
+    """Sequences as Parquet, a folder for each length; rows stay in their tasks, which write one file a length each."""
+    packed.write.partitionBy("length").parquet(path)
+
+
+def read_bucket(spark: SparkSession, path: str, length: int) -> DataFrame:
+    """The sequences of one length, read from its folder alone; ``ids`` as arrays of ints (of packed with_ids)."""
+    rows = spark.read.parquet(path).where(F.col("length") == length)
+    place = rows.columns.index("ids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, place):
+            flat = np.frombuffer(b"".join(batch.column("ids").to_pylist()), "<u4").astype(np.int64)
+            ids = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * length), pa.array(flat))
+            yield batch.set_column(batch.schema.get_field_index("ids"), "ids", ids)
+
+    names = [f"`{f.name}` array<long>" if f.name == "ids" else f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema]
+    return rows.mapInArrow(run, ", ".join(names))
+
