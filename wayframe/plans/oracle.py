@@ -130,6 +130,7 @@ ORACLE_SQL: dict[str, str] = {
     "graph_tables_edges": f"{WITH}, {_VALID} SELECT {_TEXTS}, pos FROM raw_edges WHERE src IN (SELECT id FROM valid) AND dst IN (SELECT id FROM valid)",
     "graph_tables_stats": f"{WITH}, {_VALID} SELECT (SELECT count(*) FROM valid) AS n_nodes, count(*) FILTER (dst IN (SELECT id FROM valid)) AS n_edges, count(*) FILTER (dst NOT IN (SELECT id FROM valid)) AS n_skipped FROM raw_edges WHERE src IN (SELECT id FROM valid)",
     "graph_tables_read": f"{WITH}, {_VALID} SELECT {_TEXTS}, length FROM roads WHERE src IN (SELECT id FROM valid) AND dst IN (SELECT id FROM valid)",
+    "unsupported_formats": "SELECT * FROM (VALUES ('graph', 'ValueError'), ('instructions', 'ValueError')) AS t(what, outcome)",
     "positional_pick": f"{WITH} SELECT id AS pos, id, name FROM geo_nodes WHERE id IN {PLACES}",
     "navigation_decision": f"""{WITH}, {_NAVIGATION} SELECT CAST(b.source AS VARCHAR) AS start, CAST(b.id AS VARCHAR) AS "end", CAST(b.path[2] AS VARCHAR) AS step, direction FROM best AS b JOIN (SELECT s.id AS s, t.id AS t, {_B} AS direction FROM (SELECT s.id, s.lat AS lat1, s.lon AS lon1 FROM geo_nodes AS s) AS s JOIN roads AS e ON e.src = s.id JOIN (SELECT t.id, t.lat AS lat2, t.lon AS lon2 FROM geo_nodes AS t) AS t ON t.id = e.dst) AS d ON d.s = b.source AND d.t = b.path[2] WHERE b.id = {PLACES[1]}""",
     "cardinal_terms": f"{WITH} SELECT id, {_terms(_all('instruction', P.CARDINAL))} AS terms FROM instructions",

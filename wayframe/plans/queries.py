@@ -336,3 +336,18 @@ def navigation_decision(i: Inputs) -> DataFrame:
     ends = {r.pos: str(r.id) for r in positional_pick(i).collect()}  # two rows
     graph = StreetGraph(i.spark, graph_files.graph_from_tables(i.nodes, i.roads))
     return graph.navigation_decisions(i.spark.createDataFrame([tuple(ends[p] for p in PLACES)], "start string, end string"), by_length=True)
+
+
+@query
+def unsupported_formats(i: Inputs) -> DataFrame:
+    """What readers say of a file whose kind they don't know."""
+    path = shared_path(i.spark, "other") + ".xml"
+    i.spark.range(1).selectExpr("'x' AS value").write.text(path)
+    rows = []
+    for what, read in (("graph", graph_files.read_graph), ("instructions", instruction_files.read_instructions)):
+        try:
+            read(i.spark, path)
+            rows.append((what, "read"))
+        except ValueError:
+            rows.append((what, "ValueError"))
+    return i.spark.createDataFrame(rows, "what string, outcome string")
