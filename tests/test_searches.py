@@ -91,7 +91,7 @@ def test_exported_tables(spark, tmp_path):
     (tmp_path / "export.py").write_text(S.export_script())
     subprocess.run([sys.executable, str(tmp_path / "export.py"), str(tmp_path / "g.pickle"), str(tmp_path)], check=True, timeout=60)
     assert len((tmp_path / "nodes.jsonl").read_text().splitlines()) == 3 and json.loads((tmp_path / "edges.jsonl").read_text().splitlines()[0]) == {"src": "a", "dst": "b", "pos": 0, "length": None}
-    made = S.read_tables(spark, str(tmp_path / "nodes.jsonl"), str(tmp_path / "edges.jsonl"))
+    made = S.read_graph(spark, str(tmp_path))
     assert sorted((r.src, r.dst, r.pos) for r in made.edges.collect()) == [("a", "b", 0), ("b", "a", 0)]
     s = S.table_stats(spark.read.json(str(tmp_path / "nodes.jsonl")), spark.read.json(str(tmp_path / "edges.jsonl"))).first()
     assert (s.n_nodes, s.n_edges, s.n_skipped) == (2, 2, 2)

@@ -49,14 +49,18 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_graph(spark: SparkSession, path: str) -> Graph:
-    """A graph from a ``.json`` file ``{"nodes": {id: {...}}, "edges": {id: [id, ...]}}``; edges to unknown nodes go.
+    """A graph from a ``.json`` file ``{"nodes": {id: {...}}, "edges": {id: [id, ...]}}``; edges to unknown nodes go. Or from a folder that holds nodes and edges as ``.jsonl`` or ``.parquet`` (see read_tables).
 
-    A path that isn't there gives the sample graph. Pickles aren't read, as loading one runs
-    code that it holds: export node and edge tables and use graph_from_tables. ValueError for
-    other kinds.
+    A path that isn't there gives the sample graph. A .json is one record, which one task reads;
+    large graphs come as tables. Pickles aren't read, as loading one runs code that it holds:
+    export tables by export_script. ValueError for other kinds.
     """
     if not exists(spark, path):
         return sample_graph(spark)
+    for kind in ("parquet", "jsonl"):
+        nodes, edges = (f"{path.rstrip('/')}/{name}.{kind}" for name in ("nodes", "edges"))
+        if exists(spark, nodes) and exists(spark, edges):
+            return read_tables(spark, nodes, edges)
     if not path.endswith(".json"):
         raise ValueError(f"a graph can't be read from this kind of file: {path}")
     raw = spark.read.schema(schemas.GRAPH_FILE).option("multiLine", True).json(path)
