@@ -37,26 +37,24 @@ def reachability(pairs: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFr
     used.append(path)
     known, path, _ = written(_known(pairs, nodes), "pairs")
     used.append(path)
-    open_pairs, reached = known.where("start <> end"), []
+    open_pairs = known.where("start <> end")
     fresh, path, seen = written(open_pairs.select("start", F.col("start").alias("id")).distinct(), "reached", n=F.count(F.lit(1)))
-    used.append(path)
-    reached.append(fresh)
+    reached = [path]  # a table a round, read as one
     while seen["n"]:
         if len(reached) > MOST_ROUNDS:
             raise RuntimeError(f"reachability did not settle in {MOST_ROUNDS} rounds")
         hops = [fresh]
         for _ in range(HOPS):
             hops.append(hops[-1].join(steps, F.col("id") == F.col("src")).select("start", F.col("dst").alias("id")).distinct())
-        before = _union(reached)
+        before = spark.read.schema(fresh.schema).parquet(*reached)
         # Sources all of whose ends are reached go no further.
         waiting = open_pairs.join(before.withColumnRenamed("id", "end"), ["start", "end"], "left_anti").select("start").distinct()
         new = _union(hops[1:]).distinct().join(before, ["start", "id"], "left_anti").join(waiting, "start", "left_semi")
         fresh, path, seen = written(new, "reached", n=F.count(F.lit(1)))
-        used.append(path)
-        reached.append(fresh)
-    hit = _union(reached).withColumnRenamed("id", "end").unionByName(known.where("start = end")).join(known, ["start", "end"], "left_semi").distinct().withColumn("hit", F.lit(True))
+        reached.append(path)
+    hit = spark.read.schema(fresh.schema).parquet(*reached).withColumnRenamed("id", "end").unionByName(known.where("start = end")).join(known, ["start", "end"], "left_semi").distinct().withColumn("hit", F.lit(True))
     out, _, _ = written(pairs.select("start", "end").join(hit, ["start", "end"], "left").select("start", "end", F.coalesce("hit", F.lit(False)).alias("reachable")), "reachable")
-    deleted(spark, used)
+    deleted(spark, used + reached)
     return out
 
 
