@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..session import shared_root
 
 #: Text bytes that one step of a Python worker handles together.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
