@@ -9,6 +9,7 @@ import sys
 import pytest
 
 from wayframe import session
+from wayframe.operators import cells
 from wayframe.operators import paths as P
 from wayframe.sources import graphs as S
 
@@ -100,3 +101,53 @@ def test_exported_tables(spark, tmp_path):
 def test_neighbour_order(spark):
     edges = {(r.src, r.pos): r.dst for r in S.sample_graph(spark).edges.collect()}
     assert [edges["museum", k] for k in range(2)] == ["central_park", "library"] and [edges["central_park", k] for k in range(2)] == ["museum", "park_north"]
+
+
+def counted(monkeypatch):
+    """How many tables searches write from now on."""
+    made = []
+    monkeypatch.setattr(P, "written", lambda *a, **k: made.append(1) or session.written(*a, **k))
+    return made
+
+
+def test_rounds_do_not_grow_with_distances(spark, monkeypatch):
+    made = counted(monkeypatch)
+    line = spark.createDataFrame([(k, k + 1, 1.0) for k in range(200)], "src int, dst int, w double")
+    assert P.shortest_distances(spark.createDataFrame([(0,)], "id int"), line).where("dist = id AND hops = id AND (id = 0 OR last = id - 1 AND first = 1)").count() == 201
+    assert P.reachability(spark.createDataFrame([(0, 200), (200, 0)], "start int, end int"), line, spark.range(201)).where("reachable").first().end == 200
+    assert len(made) < 20  # 50 rounds a search before
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_cells_change_nothing(spark, monkeypatch, kind):
+    """Searches in one cell and across many, from text and numbers: the same states, paths and answers, by plain code as well."""
+    name = (lambda k: f"n{k:02}") if kind == "string" else int
+    rows = [(name(a), name(b), w) for a, b, w in edge_rows(11, n=24)]
+    weighted, nodes = spark.createDataFrame(rows, f"src {kind}, dst {kind}, w double"), spark.createDataFrame([(name(k),) for k in range(24)], f"id {kind}")
+    sources = spark.createDataFrame([(name(k),) for k in (0, 7, 23, 77)], f"id {kind}")
+    pairs = spark.createDataFrame([(name(a), name(b)) for a in (0, 7, 23) for b in (3, 8, 20, 23)], f"start {kind}, end {kind}")
+
+    def results():
+        found = [P.shortest_distances(sources, weighted), P.shortest_paths(sources, weighted), P.paths_between(pairs, weighted, nodes), P.distances_between(pairs, weighted, nodes), P.reachability(pairs, weighted, nodes)]
+        return [sorted(map(tuple, f.collect()), key=repr) for f in found]
+
+    whole = results()
+    made = counted(monkeypatch)
+    monkeypatch.setattr(cells, "MOST_EDGES", 24)
+    assert (results() if kind == "int" else [sorted(map(tuple, P.shortest_distances(sources, weighted).collect()), key=repr)]) == whole[: 5 if kind == "int" else 1]
+    assert len(made) > 10
+    w = {}
+    for a, b, x in rows:
+        if a != b:
+            w[a, b] = min(x, w.get((a, b), x))
+    best = {(name(k), name(k)): (0.0, 0, None, None) for k in (0, 7, 23, 77)}
+    for _ in range(80):
+        for (s, a), (d, h, _, first) in list(best.items()):
+            for (x, b), more in w.items():
+                new = (d + more, h + 1, a, first or b)
+                if x == a and b != s and ((s, b) not in best or new[:3] <= best[s, b][:3]):
+                    best[s, b] = new
+    assert {r[:2]: r[2:] for r in whole[0]} == best
+    assert all(p[0] == s and p[-1] == n and len(p) == best[s, n][1] + 1 and (len(p) == 1 or (p[1], p[-2]) == (best[s, n][3], best[s, n][2])) for s, n, _, p in whole[1])
+    assert [(r[2], r[5]) for r in whole[3]] == [(len(r[2]), r[4]) for r in whole[2]]
+    assert [r[2] for r in whole[4]] == [r[4] for r in whole[2]]

@@ -1,27 +1,25 @@
-"""Reachability and shortest paths for many pairs of nodes at once.
+"""Reachability and shortest paths of many pairs of nodes at once.
 
-All sources advance together, HOPS edges a round, and only nodes that the last round reached or
-improved go on; sources whose pairs are answered stop. Tables between rounds are written to the
-shared folder and deleted afterwards. Paths are kept as one pointer a node and put together at
-the end, by doubling.
+The graph is cut into cells (see cells.py). A round searches all cells to which the last one made
+better offers, from all sources at once, so there are as many rounds as a path has changes of
+cell, however many edges it has; sources whose pairs are answered stop. Tables between rounds are
+written to the shared folder and deleted afterwards. A path is put together from its stretches in
+cells, by doubling.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine
 from ..session import deleted, written
+from .cells import END, OFFER, Cells, cut, search
 
-#: Edges that a round follows. Rounds that a search takes at most, as a guard.
-HOPS, MOST_ROUNDS = 4, 10_000
-
-
-def _union(tables: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, tables)
+#: A guard: a search takes MOST_ROUNDS rounds at most, and a path HOPS edges for each of them.
+HOPS, MOST_ROUNDS = 4, 10_000_000
 
 
 def _known(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -30,31 +28,81 @@ def _known(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.select("start", "end").distinct().join(ids.select(F.col("id").alias("start")), "start", "left_semi").join(ids.select(F.col("id").alias("end")), "end", "left_semi").select("start", "end")
 
 
+def _checked(seen: dict[str, int]) -> None:
+    if (seen["hops"] or 0) > HOPS * MOST_ROUNDS:
+        raise RuntimeError(f"a path takes more than {MOST_ROUNDS} rounds of {HOPS} edges")
+
+
+@dataclass
+class _Searched:
+    """offers(kind, source, id, cell, dist, hops, last, first, changed): the best offer to each node with edges from other cells, and of kind END the ends reached. open_offers: those within the bounds. bounds(source, bound): of sources all of whose ends are reached."""
+
+    cells: Cells
+    offers: DataFrame
+    open_offers: DataFrame
+    ends: DataFrame | None
+    bounds: DataFrame | None
+    n_sources: int
+    used: list[str]
+
+
+def _search_cells(sources: DataFrame, steps: DataFrame, n_edges: int, ends: DataFrame | None, once: bool) -> _Searched:
+    """Rounds over cells until no offer gets better. steps: ``src, dst, w`` without loops, a row a pair. once: that a node is reached is enough."""
+    cells = cut(steps, n_edges)
+    used, kind = cells.used, steps.schema["src"].dataType
+    none = F.lit(None).cast(kind)
+    if ends is not None:
+        counts = ends.groupBy("source").agg(F.count(F.lit(1)).alias("n_ends"))
+        ends, path, _ = written(cells.placed(ends.select(F.col("source").cast(kind).alias("source"), F.col("id").cast(kind).alias("id")).join(counts, "source"), "id"), "ends")
+        used.append(path)
+    begin = cells.placed(sources.select(F.col("id").cast(kind).alias("id")).distinct(), "id")
+    begin = begin.select(F.lit(OFFER).alias("kind"), F.col("id").alias("source"), "id", "cell", F.lit(0.0).alias("dist"), F.lit(0).cast("long").alias("hops"), none.alias("last"), none.alias("first"), F.lit(True).alias("changed"))
+    offers, path, seen = written(begin, "offers", n=F.count(F.lit(1)))
+    n_sources, last_path = seen["n"], path
+    value = lambda: F.struct("dist", "hops", "last", "first")
+
+    def within(offers: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        rows = offers.where(F.col("kind") == OFFER)
+        if ends is None:
+            return rows, None
+        reached = offers.where(F.col("kind") == END).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("bound"))
+        bounds = reached.join(ends.select("source", "n_ends").distinct(), "source").where("n = n_ends").select("source", "bound")
+        if once:
+            return rows.join(bounds, "source", "left_anti"), bounds
+        return rows.join(bounds, "source", "left").where("bound IS NULL OR dist <= bound").drop("bound"), bounds
+
+    open_offers, bounds = within(offers)
+    rounds = 0
+    while seen["n"] and (once or not cells.whole):  # where no edge leaves its cell, one search is all
+        if rounds == MOST_ROUNDS:
+            raise RuntimeError(f"a search did not settle in {MOST_ROUNDS} rounds")
+        rounds += 1
+        fresh = open_offers.where("changed").select("source", "cell").distinct()
+        made = search(cells, open_offers.join(fresh, ["source", "cell"], "left_semi"), ends, n_sources, "offers")
+        both = offers.drop("changed").withColumn("old", F.lit(1)).unionByName(made.withColumn("old", F.lit(0)))
+        # Of equal offers the new one stays, as the same node makes it.
+        best = both.groupBy("kind", "source", "id", "cell").agg(F.min(F.struct("dist", "hops", "last", "old", "first")).alias("best"), F.max(F.when(F.col("old") == 1, value())).alias("was"))
+        now = best.select("kind", "source", "id", "cell", "best.dist", "best.hops", "best.last", "best.first", "was")
+        changed = F.col("was").isNull() if once else ~value().eqNullSafe(F.col("was"))
+        now = now.withColumn("changed", changed & (F.col("kind") == OFFER)).drop("was")
+        offers, path, seen = written(now, "offers", n=F.count_if("changed"), hops=F.max("hops"))
+        _checked(seen)
+        deleted(sources.sparkSession, [last_path])
+        last_path = path
+        open_offers, bounds = within(offers)
+    return _Searched(cells, offers, open_offers, ends, bounds, n_sources, [*used, last_path])
+
+
 def reachability(pairs: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``start, end, reachable`` for ``pairs(start, end)``: an unknown end gives false, a known node reaches itself. A null end or an empty table of pairs is allowed."""
-    spark, used = pairs.sparkSession, []
-    steps, path, _ = written(edges.where("src <> dst").select("src", "dst").distinct(), "steps")
-    used.append(path)
-    known, path, _ = written(_known(pairs, nodes), "pairs")
-    used.append(path)
-    open_pairs = known.where("start <> end")
-    fresh, path, seen = written(open_pairs.select("start", F.col("start").alias("id")).distinct(), "reached", n=F.count(F.lit(1)))
-    reached = [path]  # a table a round, read as one
-    while seen["n"]:
-        if len(reached) > MOST_ROUNDS:
-            raise RuntimeError(f"reachability did not settle in {MOST_ROUNDS} rounds")
-        hops = [fresh]
-        for _ in range(HOPS):
-            hops.append(hops[-1].join(steps, F.col("id") == F.col("src")).select("start", F.col("dst").alias("id")).distinct())
-        before = spark.read.schema(fresh.schema).parquet(*reached)
-        # Sources all of whose ends are reached go no further.
-        waiting = open_pairs.join(before.withColumnRenamed("id", "end"), ["start", "end"], "left_anti").select("start").distinct()
-        new = _union(hops[1:]).distinct().join(before, ["start", "id"], "left_anti").join(waiting, "start", "left_semi")
-        fresh, path, seen = written(new, "reached", n=F.count(F.lit(1)))
-        reached.append(path)
-    hit = spark.read.schema(fresh.schema).parquet(*reached).withColumnRenamed("id", "end").unionByName(known.where("start = end")).join(known, ["start", "end"], "left_semi").distinct().withColumn("hit", F.lit(True))
+    steps, path, seen = written(edges.where("src <> dst").select("src", "dst", F.lit(0.0).alias("w")).distinct(), "steps", n=F.count(F.lit(1)))
+    known, other, _ = written(_known(pairs, nodes), "pairs")
+    ends = known.where("start <> end").select(F.col("start").alias("source"), F.col("end").alias("id"))
+    found = _search_cells(ends.select(F.col("source").alias("id")), steps, seen["n"], ends, once=True)
+    hit = found.offers.where(F.col("kind") == END).select(F.col("source").alias("start"), F.col("id").alias("end"))
+    hit = hit.unionByName(known.where("start = end")).distinct().withColumn("hit", F.lit(True))
     out, _, _ = written(pairs.select("start", "end").join(hit, ["start", "end"], "left").select("start", "end", F.coalesce("hit", F.lit(False)).alias("reachable")), "reachable")
-    deleted(spark, used + reached)
+    deleted(pairs.sparkSession, [path, other, *found.used])
     return out
 
 
@@ -71,79 +119,74 @@ def by_length(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src", "dst").agg(F.min(length).alias("w"))
 
 
+def _shortest(sources: DataFrame, weighted: DataFrame, ends: DataFrame | None, result: str) -> tuple[DataFrame, str, int]:
+    """The nodes or paths (see cells.search) that the sources reach, their table's path, and how many of the rows begin in another cell."""
+    bad = F.col("w").isNull() | (F.col("w") < 0) | F.isnan("w")
+    steps, path, seen = written(weighted.where("src <> dst").groupBy("src", "dst").agg(F.min(F.col("w").cast("double")).alias("w"), F.max(bad).alias("bad")), "steps", bad=F.count_if("bad"), n=F.count(F.lit(1)))
+    if seen["bad"]:
+        raise ValueError("a weight is missing, negative or not a number")
+    if ends is not None:
+        ends = ends.select("source", "id").distinct()
+    found = _search_cells(sources, steps.drop("bad"), seen["n"], ends, once=False)
+    rows = search(found.cells, found.open_offers, found.ends, found.n_sources, result)
+    if found.bounds is not None:
+        # What lies beyond a source's ends isn't settled everywhere.
+        rows = rows.join(found.bounds, "source", "left").where("bound IS NULL OR dist <= bound").drop("bound")
+    out, table, seen = written(rows, result, hops=F.max("hops"), left=F.count("at" if result == "paths" else F.lit(None)))
+    _checked(seen)
+    deleted(sources.sparkSession, [path, *found.used])
+    return out, table, seen["left"]
+
+
 def shortest_distances(sources: DataFrame, weighted: DataFrame, ends: DataFrame | None = None) -> DataFrame:
-    """``source, id, dist, hops, last`` from each source to the nodes that it reaches; last: the node before, null at the source.
+    """``source, id, dist, hops, last, first`` from each source to the nodes that it reaches; last: the node before, first: the first one after the source, both null at the source.
 
     Of equally short paths one with the fewest edges is taken, then the least node before. ends:
     ``source, id`` pairs of interest; nodes farther from a source than all of these needn't be
     there. ValueError for a weight that is null, negative or not a number.
     """
-    spark, used = sources.sparkSession, []
-    bad = F.col("w").isNull() | (F.col("w") < 0) | F.isnan("w")
-    steps, path, seen = written(weighted.where("src <> dst").groupBy("src", "dst").agg(F.min(F.col("w").cast("double")).alias("w"), F.max(bad).alias("bad")), "steps", bad=F.count_if("bad"))
-    used.append(path)
-    if seen["bad"]:
-        raise ValueError("a weight is missing, negative or not a number")
-    steps = steps.drop("bad")
-    begin = sources.select(F.col("id").alias("source")).distinct()
-    none = F.lit(None).cast(weighted.schema["dst"].dataType)
-    best = F.struct(F.lit(0.0).alias("dist"), F.lit(0).alias("hops"), none.alias("last"))
-    # Weights were least of parallel edges, so a state is a row for each pair, rewritten where it got better.
-    state, path, seen = written(begin.select("source", F.col("source").alias("id"), best.alias("best"), F.lit(True).alias("changed")), "paths", n=F.count(F.lit(1)))
-    for round_ in range(MOST_ROUNDS + 1):
-        if not seen["n"]:
-            break
-        if round_ == MOST_ROUNDS:
-            raise RuntimeError(f"distances did not settle in {MOST_ROUNDS} rounds")
-        front = state.where("changed").select("source", "id", "best")
-        if ends is not None:
-            # A source's search ends at the farthest of its ends, once all of them are reached.
-            bound = ends.select("source", "id").distinct().join(state.select("source", "id", "best.dist"), ["source", "id"], "left").groupBy("source").agg(F.when(F.count("dist") == F.count(F.lit(1)), F.max("dist")).alias("bound"))
-            front = front.join(bound, "source").where("bound IS NULL OR best.dist < bound").drop("bound")
-        hops = [front]
-        for _ in range(HOPS):
-            offer = F.struct((F.col("best.dist") + F.col("w")).alias("dist"), (F.col("best.hops") + 1).alias("hops"), F.col("id").alias("last"))
-            onward = hops[-1].join(steps, F.col("id") == F.col("src")).where("dst <> source").select("source", F.col("dst").alias("id"), offer.alias("best"))
-            hops.append(onward.groupBy("source", "id").agg(F.min("best").alias("best")))
-        offers = _union(hops[1:]).withColumn("old", F.lit(False))
-        both = state.select("source", "id", "best").withColumn("old", F.lit(True)).unionByName(offers)
-        least = both.groupBy("source", "id").agg(F.min("best").alias("best"), F.min(F.when(F.col("old"), F.col("best"))).alias("was"))
-        moved = least.select("source", "id", "best", (F.col("was").isNull() | (F.col("best") < F.col("was"))).alias("changed"))
-        used.append(path)
-        state, path, seen = written(moved, "paths", n=F.count_if("changed"))
-    deleted(spark, used)
-    return state.select("source", "id", "best.dist", "best.hops", "best.last")
-
-
-def with_paths(found: DataFrame) -> DataFrame:
-    """``source, id, dist, path`` of shortest_distances' rows: nodes from the source to each node. Each round doubles the stretch of path that a row holds."""
-    spark, used = found.sparkSession, []
-    held = found.select("source", "id", "dist", F.col("last").alias("at"), F.array("id").alias("tail"))
-    rows, path, seen = written(held, "pointers", n=F.count("at"))
-    while seen["n"]:
-        used.append(path)
-        ahead = rows.select("source", F.col("id").alias("at"), F.col("at").alias("then"), F.col("tail").alias("head"))
-        joined = rows.join(ahead, ["source", "at"], "left")
-        rows, path, seen = written(joined.select("source", "id", "dist", F.col("then").alias("at"), F.when(F.col("head").isNull(), F.col("tail")).otherwise(F.concat("head", "tail")).alias("tail")), "pointers", n=F.count("at"))
-    deleted(spark, used)
-    return rows.select("source", "id", "dist", F.col("tail").alias("path"))
+    return _shortest(sources, weighted, ends, "nodes")[0]
 
 
 def shortest_paths(sources: DataFrame, weighted: DataFrame, ends: DataFrame | None = None) -> DataFrame:
-    """``source, id, dist, path`` from each source to the nodes that it reaches (see shortest_distances); a path never visits a node twice."""
-    return with_paths(shortest_distances(sources, weighted, ends))
+    """``source, id, dist, path`` from each source to the nodes that it reaches (see shortest_distances), or, with ends, to those at least; a path never visits a node twice.
+
+    Cells give the stretches of paths in them. Each round doubles the part of a path that a row
+    holds, until it begins at the source. The rows together hold as many nodes as the paths have.
+    """
+    spark = sources.sparkSession
+    held, path, left = _shortest(sources, weighted, ends, "paths")
+    while left:
+        before = path
+        ahead = held.select("source", F.col("id").alias("at"), F.col("at").alias("then"), F.col("tail").alias("head"))
+        joined = held.join(ahead, ["source", "at"], "left")
+        held, path, seen = written(joined.select("source", "id", "dist", F.col("then").alias("at"), F.when(F.col("head").isNull(), F.col("tail")).otherwise(F.concat("head", "tail")).alias("tail")), "pointers", n=F.count("at"))
+        deleted(spark, [before])
+        left = seen["n"]
+    return held.select("source", "id", "dist", F.col("tail").alias("path"))
+
+
+def _answered(pairs: DataFrame, weighted: DataFrame, nodes: DataFrame, search_) -> DataFrame:
+    """``start, end`` and the rows of search_ for different known pairs of ``pairs(start, end)``."""
+    known = _known(pairs, nodes)
+    rows = search_(known.select(F.col("start").alias("id")), weighted, known.select(F.col("start").alias("source"), F.col("end").alias("id")))
+    return known.join(rows.withColumnsRenamed({"source": "start", "id": "end"}), ["start", "end"])
 
 
 def paths_between(pairs: DataFrame, weighted: DataFrame, nodes: DataFrame) -> DataFrame:
     """``start, end, path, dist, found`` for ``pairs(start, end)``: an empty path where an end is unknown or not reached, the node alone from itself."""
-    known = _known(pairs, nodes)
-    paths = shortest_paths(known.select(F.col("start").alias("id")), weighted, known.select(F.col("start").alias("source"), F.col("end").alias("id")))
-    paths = paths.withColumnsRenamed({"source": "start", "id": "end"})
-    reached = known.join(paths, ["start", "end"])
+    reached = _answered(pairs, weighted, nodes, shortest_paths)
     none = F.array().cast(reached.schema["path"].dataType)
     return pairs.join(reached, ["start", "end"], "left").select("start", "end", F.coalesce("path", none).alias("path"), "dist", F.col("path").isNotNull().alias("found"))
 
 
+def distances_between(pairs: DataFrame, weighted: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``start, end, n_nodes, first, dist, found`` of paths_between's paths, without putting these together: n_nodes is 0 and first null where there is no path."""
+    reached = _answered(pairs, weighted, nodes, shortest_distances)
+    n_nodes = F.coalesce(F.col("hops") + 1, F.lit(0).cast("long"))
+    return pairs.join(reached, ["start", "end"], "left").select("start", "end", n_nodes.alias("n_nodes"), "first", "dist", F.col("hops").isNotNull().alias("found"))
+
+
 def path_lengths(paths: DataFrame, nodes: DataFrame) -> DataFrame:
     """``path_id, metres`` of ``paths(path_id, path)``: sums over neighbours in the list, whether or not there are edges; pairs with an unknown node count nothing; under two nodes 0."""
     places = paths.select("path_id", F.posexplode("path").alias("pos", "id")).join(nodes.select("id", "lat", "lon"), "id", "left")
@@ -159,8 +202,9 @@ def first_step(path: Column) -> Column:
 
 
 def first_directions(paths: DataFrame, nodes: DataFrame, rule) -> DataFrame:
-    """``start, end, step, direction`` of ``paths(start, end, path)`` with two nodes at least."""
-    steps = paths.select("start", "end", first_step(F.col("path")).alias("step")).where("step IS NOT NULL")
+    """``start, end, step, direction`` of ``paths(start, end, path)``, or ``(start, end, first)``, with two nodes at least."""
+    step = F.col("first") if "first" in paths.columns else first_step(F.col("path"))
+    steps = paths.select("start", "end", step.alias("step")).where("step IS NOT NULL")
     a = nodes.select(F.col("id").alias("start"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
     b = nodes.select(F.col("id").alias("step"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
     return steps.join(a, "start").join(b, "step").select("start", "end", "step", rule(*map(F.col, ("lat1", "lon1", "lat2", "lon2"))).alias("direction"))
