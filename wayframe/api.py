@@ -49,14 +49,16 @@ class StreetGraph:
     def check_reachability(self, start: str, end: str) -> bool:
         return self.reachable_pairs(self._pair(start, end)).first().reachable
 
+    def _weighted(self, by_length: bool) -> DataFrame:
+        return paths.by_length(self.graph.edges) if by_length else paths.geographic(self.graph.edges, self.graph.nodes)
+
     def path_pairs(self, pairs: DataFrame, by_length: bool = False) -> DataFrame:
         """Shortest paths by great-circle metres or, by_length, by the edges' column length."""
-        weighted = paths.by_length(self.graph.edges) if by_length else paths.geographic(self.graph.edges, self.graph.nodes)
-        return paths.paths_between(pairs, weighted, self.graph.nodes)
+        return paths.paths_between(pairs, self._weighted(by_length), self.graph.nodes)
 
     def navigation_decisions(self, pairs: DataFrame, by_length: bool = False) -> DataFrame:
         """``start, end, step, direction``: the first step of each shortest path and where it goes; pairs without a step have no row."""
-        return paths.first_directions(self.path_pairs(pairs, by_length), self.graph.nodes, direction_ew_first)
+        return paths.first_directions(paths.distances_between(pairs, self._weighted(by_length), self.graph.nodes), self.graph.nodes, direction_ew_first)
 
     def compute_shortest_path(self, start: str, end: str) -> list[str]:
         return list(self.path_pairs(self._pair(start, end)).first().path)
