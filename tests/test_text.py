@@ -5,6 +5,7 @@ import pytest
 from wayframe.api import InstructionDegrader
 from wayframe.functions.text import degrade
 from wayframe.operators import variants as V
+from wayframe.sources import instructions
 from wayframe.sources.instructions import read_instructions, sample_instructions, write_variants
 
 # Expected variants of the sample: id, strategy, text, removed (terms of unordered clauses in text order).
@@ -102,3 +103,14 @@ def test_stream(spark, tmp_path):
     sample_instructions(spark).write.json(str(tmp_path / "in"))
     run_once(stream_variants(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 12
+
+
+def test_csv_files_have_a_bound(spark, tmp_path, monkeypatch):
+    """One partition ends in several files, which hold all rows, line breaks and quotes within them."""
+    monkeypatch.setattr(instructions, "CSV_ROWS", 4)
+    rows = spark.createDataFrame([(f"{k:02}", "r", f'2 blocks "north"\nof, {k}', 1.0, 2.0) for k in range(10)], sample_instructions(spark).schema).coalesce(1)
+    made = V.expand(rows)
+    write_variants(made, str(tmp_path / "v.csv"))
+    files = list((tmp_path / "v.csv").glob("part-*"))
+    assert len(files) == -(-made.count() // 4) > 2
+    assert sorted(map(tuple, instructions.read_variants(spark, str(tmp_path / "v.csv")).collect())) == sorted(map(tuple, made.drop("strategy_no").collect()))

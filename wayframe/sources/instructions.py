@@ -18,6 +18,8 @@ SAMPLE = [
 ]
 #: Quotes are doubled, lines may break within them, and white space is kept.
 CSV = {"header": True, "quote": '"', "escape": '"', "multiLine": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+#: Rows of a written CSV file. As lines may break within quotes, a file is read by one task.
+CSV_ROWS = 50_000
 
 
 def sample_instructions(spark: SparkSession) -> DataFrame:
@@ -45,7 +47,13 @@ def read_variants(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.VARIANTS).options(**CSV, enforceSchema=False).csv(path)
 
 
+def write_csv(rows: DataFrame, path: str, most_rows: int = 0) -> None:
+    """CSV with a header, quotes doubled; most_rows: files of as many rows at most (0: of any size)."""
+    options = {k: v for k, v in CSV.items() if k != "multiLine"}
+    rows.write.options(**options, maxRecordsPerFile=most_rows).mode("errorifexists").csv(path)
+
+
 def write_variants(variants: DataFrame, path: str, files: int | None = None) -> None:
-    """CSV with a header, quotes doubled, sorted within files by instruction and strategy. files: as many files at most (1 for a single file; small tables only)."""
+    """CSV with a header, quotes doubled, sorted within files by instruction and strategy, in files of CSV_ROWS rows at most. files: instead as many files at most, of any size (1 for a single file; small tables only)."""
     rows = variants if files is None else variants.coalesce(files)
-    rows.sortWithinPartitions("instruction_id", "strategy_no").drop("strategy_no").write.options(**{k: v for k, v in CSV.items() if k != "multiLine"}).mode("errorifexists").csv(path)
+    write_csv(rows.sortWithinPartitions("instruction_id", "strategy_no").drop("strategy_no"), path, CSV_ROWS if files is None else 0)
