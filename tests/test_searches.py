@@ -144,7 +144,7 @@ def test_cells_change_nothing(spark, monkeypatch, kind):
     for _ in range(80):
         for (s, a), (d, h, _, first) in list(best.items()):
             for (x, b), more in w.items():
-                new = (d + more, h + 1, a, first or b)
+                new = (d + more, h + 1, a, b if first is None else first)
                 if x == a and b != s and ((s, b) not in best or new[:3] <= best[s, b][:3]):
                     best[s, b] = new
     assert {r[:2]: r[2:] for r in whole[0]} == best
